@@ -74,6 +74,10 @@ _LATIN = re.compile("[A-Za-z]")
 _LETTER = re.compile("[^\\W\\d_]")
 
 
+#: Signs and spaces of ordinary typography: on their own no trace of a wrong encoding.
+_ORDINARY = "’‘‚“”„‹›«»…–—·¿¡\xa0\xad©®™•§¶°"
+
+
 def _west(w: str, r: str) -> tuple[dict[int, str], str, str]:
     """A western encoding read as another: the way back, signs that stood for letters, capitals that did."""
     back, signs, capitals = {}, "", ""
@@ -85,9 +89,8 @@ def _west(w: str, r: str) -> tuple[dict[int, str], str, str]:
         back[ord(c)] = to
         if to.isalpha() or to in "’“”–…«»¿¡":
             if "LATIN" not in _name(c) or not c.isalpha():
-                # ordinary punctuation in place of a capital is nearly always just that
-                signs += "" if to.isupper() and c in "’“”‘«»…–—„·¿¡" else c
-            elif c.isupper() or c in "ßªº":
+                signs += "" if c in _ORDINARY else c
+            elif c.isupper():
                 capitals += c
     return back, signs, capitals
 
