@@ -57,6 +57,11 @@ def _cls(table: dict[str, int], lo: int, hi: int) -> str:
 
 def _utf8_pattern(t: dict[str, int]) -> re.Pattern:
     tail = _cls(t, 0x80, 0xBF)
+    if "а" in t:
+        # Cyrillic letters are lead and tail bytes themselves: one pair may be chance, unless its tail is a sign.
+        sign = "[" + "".join(re.escape(c) for c, b in t.items() if 0x80 <= b <= 0xBF and not c.isalpha()) + "]"
+        two = f"(?:{_cls(t, 0xC2, 0xDF)}{tail}|{_cls(t, 0xE1, 0xEF)}{tail}{{2}})"
+        return re.compile(f"{two}(?:[ -~]?{two})+|{_cls(t, 0xC2, 0xDF)}{sign}" if t["а"] >= 0xC0 else f"(?:{_cls(t, 0xC2, 0xDF)}{tail})+")
     return re.compile(f"(?:{_cls(t, 0xC2, 0xDF)}{tail}|{_cls(t, 0xE0, 0xEF)}{tail}{{2}}|{_cls(t, 0xF0, 0xF4)}{tail}{{3}})+")
 
 
@@ -114,7 +119,7 @@ def _from_utf8(w: str):
     t = _ONE_BYTE[w]
 
     def back(m: re.Match) -> str:
-        return bytes(t[c] for c in m.group()).decode("utf-8", "replace")
+        return bytes(t.get(c) or ord(c) for c in m.group()).decode("utf-8", "replace")
 
     return back
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import encoding
+from termloom.llm import copies, encoding, forms, sentences, splitting
 from termloom.session import table
 
 
@@ -21,6 +21,52 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_repairs(spark, sf_dir).select("row_idx", "field").distinct()
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of string_rows in pieces within its provider's limit."""
+    return splitting.split_items(table(spark, sf_dir, "string_rows"), table(spark, sf_dir, "split_limits"), "row_idx", "source", "provider")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of string_rows whose source had to be split."""
+    return p2_pieces(spark, sf_dir).filter("piece = 1").select("row_idx").distinct()
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "string_rows").select(F.col("row_idx").alias("key"), "id", "source")
+    raw = copies.parse_records(table(spark, sf_dir, "raw_records"), "rec_id", "xml")
+    both = rows.withColumn("tbl", F.lit("string_rows")).unionByName(raw.withColumn("tbl", F.lit("raw_records")))
+    return both.select("tbl", "key", copies.canonical_key([F.col("id"), F.col("source")]).alias("kb"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each distinct String record with its number of copies."""
+    return copies.copies(_records(spark, sf_dir))[0].select("tbl", F.col("least").alias("key"), F.col("n").alias("n_copies"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that is a copy of one with a smaller key."""
+    return copies.copies(_records(spark, sf_dir))[1].distinct()
+
+
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every source and glossary term that isn't in it."""
+    rows = forms.odd_forms(table(spark, sf_dir, "string_rows"), "row_idx", "source").withColumn("tbl", F.lit("string_rows"))
+    terms = forms.odd_forms(table(spark, sf_dir, "glossary"), "ord", "term").withColumn("tbl", F.lit("glossary"))
+    return rows.unionByName(terms).select("tbl", "key", "form")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with characters that stand in for ordinary ones; wrongly decoded sources aren't cases."""
+    garbled = encoding.garbled(table(spark, sf_dir, "string_rows"), "row_idx", "plugin", ["source"])
+    bad = garbled.select(F.lit("string_rows").alias("tbl"), F.col("row_idx").alias("key"))
+    return p7_forms(spark, sf_dir).join(bad, ["tbl", "key"], "left_anti").select("tbl", "key").distinct()
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence unit of every document."""
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "start_char", "end_char").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries whose names begin with p and a problem's number."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
