@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import copies, encoding, forms, sentences, splitting
+from termloom.llm import copies, encoding, forms, pairs, sentences, splitting
 from termloom.session import table
 
 
@@ -48,6 +48,41 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(_records(spark, sf_dir))[1].distinct()
 
 
+def _pairs(spark: SparkSession, sf_dir: str, drop_garbled: bool = True) -> DataFrame:
+    """Rows sent to the translator as pairs; sources stand repaired, responses that p1 finds are left out."""
+    rows = table(spark, sf_dir, "string_rows").select("row_idx", "plugin", "source", "dest", "provider", "attempt")
+    fixed = encoding.garbled(rows, "row_idx", "plugin", ["source", "dest"])
+    source = fixed.filter("field = 'source'").select("row_idx", F.col("restored").alias("_fixed"))
+    bad = fixed.filter("field = 'dest'").select("row_idx")
+    langs = table(spark, sf_dir, "plugins").select("plugin", "src_lang", "dst_lang").dropDuplicates(["plugin"])
+    sent = rows.filter("attempt >= 1").join(bad, "row_idx", "left_anti").join(source, "row_idx", "left").join(langs, "plugin", "left")
+    return sent.select(
+        F.col("row_idx").alias("key"), F.col("provider").alias("src"), F.coalesce("_fixed", "source").alias("prompt"),
+        F.col("dest").alias("response"), F.col("src_lang").alias("prompt_lang"), F.col("dst_lang").alias("lang"),
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective pair of string_rows with its defect."""
+    return pairs.defects(_pairs(spark, sf_dir)).select(F.col("key").alias("row_idx"), "defect").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of string_rows whose translation stops early."""
+    return pairs.truncated(_pairs(spark, sf_dir)).select(F.col("key").alias("row_idx")).distinct()
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every provider its translations, those that are cut, and their share."""
+    sent = _pairs(spark, sf_dir)
+    short = pairs.truncated(sent).withColumn("_cut", F.lit(1))
+    return (
+        sent.join(short, "key", "left").groupBy(F.col("src").alias("provider"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("_cut", F.lit(0))).alias("n_cut"))
+        .withColumn("share_cut", F.col("n_cut") / F.col("n_rows"))
+    )
+
+
 def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every source and glossary term that isn't in it."""
     rows = forms.odd_forms(table(spark, sf_dir, "string_rows"), "row_idx", "source").withColumn("tbl", F.lit("string_rows"))
