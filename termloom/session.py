@@ -75,3 +75,19 @@ def _drop(path: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library to the executors, unless their Python finds it anyway."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if root in map(os.path.abspath, filter(None, found)) or app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    at = tempfile.mkdtemp(prefix="termloom-ship-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/termloom", "zip", root, "termloom"))
