@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 
@@ -91,3 +92,12 @@ def ship(spark: SparkSession) -> None:
     at = tempfile.mkdtemp(prefix="termloom-ship-")
     atexit.register(shutil.rmtree, at, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/termloom", "zip", root, "termloom"))
+
+
+#: Rows up to which a written table may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table for the right side of a join: broadcast if it holds at most ``limit`` rows, else left to the planner."""
+    return F.broadcast(written) if written.count() <= limit else written
