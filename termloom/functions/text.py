@@ -7,6 +7,8 @@ otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,22 @@ def norm_key(x: Column) -> Column:
     return F.lower(strip(x))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distinct_ci(words: Column) -> Column:
     """Distinct without regard to case, the first spelling kept, order kept."""
-    low = F.transform(words, lambda w: F.lower(w))
-    return F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    none = F.array().cast("array<string>")
+    # A fold names the list once; a filter that looks things up in the list would compute it for every word.
+    return F.aggregate(
+        words, F.struct(none.alias("kept"), none.alias("low")),
+        lambda acc, w: F.when(F.array_contains(acc["low"], F.lower(w)), acc).otherwise(
+            F.struct(F.array_append(acc["kept"], w).alias("kept"), F.array_append(acc["low"], F.lower(w)).alias("low"))
+        ),
+        lambda acc: acc["kept"],
+    )
 
 
 def proper_nouns(text: Column, stop_words: list[str] | None = None) -> Column:
@@ -167,27 +181,33 @@ def truncate_reference(text: Column, anchors: Column, n: int) -> Column:
     """
     if n <= 0:
         return text
-    # Lengths of tokens and of what stands between them give every token's place.
-    toks = tokens(text)
-    gaps = F.split(text, TOKEN)  # one more gap than tokens
-    starts = F.aggregate(
-        F.sequence(F.lit(1), F.size(toks)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(toks, i))).alias("at"),
-            F.concat(acc["s"], F.array(acc["at"] + F.length(F.element_at(gaps, i)))).alias("s"),
+    # Lengths of tokens and of what stands before each give every token's span.
+    spans = F.aggregate(
+        F.zip_with(F.split(text, TOKEN), tokens(text), lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("len"))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("s")),
+        lambda acc, p: F.when(p["len"].isNull(), acc).otherwise(
+            F.struct(
+                (acc["at"] + p["gap"] + p["len"]).alias("at"),
+                F.array_append(acc["s"], F.struct((acc["at"] + p["gap"]).alias("a"), (acc["at"] + p["gap"] + p["len"]).alias("b"))).alias("s"),
+            )
         ),
-    )["s"]
-    pos = find_anchor(text, anchors)
-    anchor_token = F.greatest(F.size(F.filter(starts, lambda s: s <= pos)) - 1, F.lit(0))
-    first = F.when(pos.isNull(), 0).otherwise(anchor_token - int(n * 0.4))
-    first = F.least(F.greatest(first, F.lit(0)), F.size(toks) - n)
-    a = F.element_at(starts, first + 1)
-    last = first + n
-    b = F.element_at(starts, last) + F.length(F.element_at(toks, last))
-    piece = F.substring(text, a + 1, b - a)
-    cut = F.concat(F.when(a > 0, "…").otherwise(""), piece, F.when(b < F.length(text), "…").otherwise(""))
-    return F.when(F.size(toks) <= n, text).otherwise(cut)
+        lambda acc: acc["s"],
+    )
+
+    def place(v: Column) -> Column:
+        count = F.size(v["s"])
+        inside = F.greatest(F.size(F.filter(v["s"], lambda x: x["a"] <= v["pos"])) - 1, F.lit(0))
+        first = F.when(v["pos"].isNull(), 0).otherwise(inside - int(n * 0.4))
+        first = F.least(F.greatest(first, F.lit(0)), count - n)
+        return F.when(count > n, F.struct(F.element_at(v["s"], first + 1)["a"].alias("a"), F.element_at(v["s"], first + n)["b"].alias("b")))
+
+    span = let(F.struct(spans.alias("s"), find_anchor(text, anchors).alias("pos")), place)
+
+    def piece(v: Column) -> Column:
+        cut = F.concat(F.when(v["a"] > 0, "…").otherwise(""), F.substring(text, v["a"] + 1, v["b"] - v["a"]), F.when(v["b"] < F.length(text), "…").otherwise(""))
+        return F.when(v.isNull(), text).otherwise(cut)
+
+    return let(span, piece)
 
 
 def likely_untranslated(source: Column, translation: Column, cjk_target: bool = True) -> Column:
