@@ -35,12 +35,10 @@ _MARKUP = r"<[^<>]{0,200}>|\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|%[-+0-9.]*[a-zA-Z]|
 
 
 def closed(text: Column) -> Column:
-    """Whether the last sentence of a text is closed; a final point inside a number isn't a close."""
-    return text.rlike(_CLOSED)
-
-
-def _visible(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_TRAIL}\z", "")
+    """Whether the last sentence of a text is closed."""
+    # The end decides; only where it is all closing marks must the whole text be read.
+    tail = F.substring(text, -24, 24)
+    return F.when(tail.rlike(_CLOSED), True).when(tail.rlike(rf"\A[^<\[]*(?:[<\[][^>\]]*)?[>\]]?{_TRAIL}\z") | tail.rlike(rf"\A{_TRAIL}\z"), text.rlike(_CLOSED)).otherwise(False)
 
 
 def spikes(texts: DataFrame, source: str, text: str, least: int = 8, factor: float = 4.0, reach: int = 12) -> DataFrame:
@@ -72,7 +70,7 @@ def spikes(texts: DataFrame, source: str, text: str, least: int = 8, factor: flo
 
 def suffix(text: Column) -> Column:
     """The last letters of a text, closing marks aside: the n-gram whose end-of-text likelihood counts."""
-    v = F.regexp_replace(text, rf"[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
+    v = F.regexp_replace(F.substring(text, -24, 24), rf"[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
     return F.substring(v, -4, 4)
 
 
@@ -86,8 +84,9 @@ def cut_off(pairs: DataFrame, natural: int = 3) -> DataFrame:
     p = p.select("key", "src", "prompt", "response", F.length("response").alias("n_chars"), F.octet_length("response").alias("n_bytes"), closed(F.col("response")).alias("shut"), F.coalesce(closed(F.col("prompt")), F.lit(False)).alias("p_shut"))
     at = spikes(p, "src", "response")
     # A number broken at its point: "39." where the prompt has 39.8, or a point in scripts that close with another mark.
-    tail = F.regexp_extract("response", r"(\d+)[.,]?\z", 1)
-    broken = (F.length(tail) > 0) & F.col("response").rlike(r"\d\.\z") & (F.col("prompt").rlike(r"\d[.,]\d") & F.coalesce(F.instr(F.col("prompt"), F.concat(tail, F.lit("."))) + F.instr(F.col("prompt"), F.concat(tail, F.lit(","))) > 0, F.lit(False)) | F.col("response").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][^.]*\d\.\z"))
+    end = F.substring("response", -24, 24)
+    tail = F.regexp_extract(end, r"(\d+)[.,]?\z", 1)
+    broken = end.rlike(r"\d\.\z") & (F.col("prompt").rlike(r"\d[.,]\d") & F.coalesce(F.instr(F.col("prompt"), F.concat(tail, F.lit("."))) + F.instr(F.col("prompt"), F.concat(tail, F.lit(","))) > 0, F.lit(False)) | F.col("response").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][^.]*\d\.\z"))
     p = p.withColumn("shut", F.col("shut") & ~broken)
     by_pair = p.filter("not shut and p_shut").select("key")
     lens = at.groupBy("src").agg(F.collect_set(F.when(F.col("kind") == "chars", F.col("len"))).alias("c"), F.collect_set(F.when(F.col("kind") == "bytes", F.col("len"))).alias("b"))
@@ -106,7 +105,7 @@ _JSON_EMPTY = r"(?i)\A[^\p{L}\p{N}]*(?:translation|text|result|output|dest)[^\p{
 _DECLINE = {
     "en": (r"sorry|apolog|cannot|can['’]?t|can not|unable|not able|won['’]?t|will not|decline|refuse|must not|not (?:allowed|permitted|comfortable)|violat|against (?:my|the|our)|not provide|no translation", r"translat|language model|\bAI\b|assistant|(?:content|usage|safety) polic|guideline|render (?:this|the|that)|(?:this|that|your) (?:request|content|prompt|passage|text|material|line)|comply"),
     "de": (r"leid|leider|entschuldig|kann (?:ich|das|diese|dies)|nicht (?:möglich|übersetz|bearbeit|helfen|erlaubt)|darf|verweiger|ablehn", r"übersetz|sprachmodell|\bKI\b|richtlinie|anfrage|inhaltsrichtlinie"),
-    "fr": (r"désolé|pardon|regrett|ne peux|ne suis pas|impossible|incapable|refuse|ne puis|dois (?:refuser|décliner)", r"tradui|traduc|modèle de langage|\bIA\b|politique|demande|requête|ce (?:contenu|texte|passage)"),
+    "fr": (r"désolé|pardon|regrett|ne peux|ne suis pas|impossible|incapable|refuse|ne puis|dois (?:refuser|décliner)", r"tradui|traduc|modèle de langage|\bIA\b|politique|(?:cette|votre) (?:demande|requête)|ce (?:contenu|texte|passage)"),
     "es": (r"siento|disculp|perd[oó]n|no puedo|no me es posible|no es posible|incapaz|me niego|rechaz|debo", r"traduc|modelo de lenguaje|\bIA\b|política|solicitud|petición|este (?:texto|contenido|pasaje)"),
     "ru": (r"извин|прост|сожален|не могу|не в состоянии|невозможно|вынужден|отказ|не вправе", r"перев[её]?[сдо]|языковая модель|\bИИ\b|политик|запрос|этот текст|содержани[ея]м?\b|контент"),
     "zh": (r"抱歉|对不起|無法|无法|不能|拒绝|恕|不便|不可以|不提供", r"翻译|翻譯|译文|譯文|语言模型|語言模型|人工智能|政策|请求|內容|内容|该文本|此文本"),
@@ -117,19 +116,37 @@ _DECLINE = {
 _SHORT = r"(?i)\A[^\p{L}]*(?:note|notice|assistant|answer|translation|anmerkung|hinweis|注|备注|注意)?[^\p{L}]*(?:(?:i['’]m|i am) (?:very |so )?sorry[,.;]?\s*(?:but )?)?(?:sorry[,.;]?\s*(?:but )?)?(?:i (?:cannot|can['’]?t|can not|am unable to|won['’]?t|am not able to) (?:help|assist|do|comply|continue)(?: you)?(?: with)?(?: (?:that|this|it|your request|this request|the request))?|unable to comply.{0,60}|request (?:denied|refused|declined)|i must (?:decline|refuse).{0,60}|i (?:decline|refuse).{0,60}|(?:leider )?(?:kann|darf) ich (?:dabei |das |ihnen |dir |euch )*nicht (?:helfen|tun|machen)|je ne peux pas (?:vous |t['’])?(?:aider|faire cela)|no puedo (?:ayudar(?:te|le|os)?|hacer)(?: con (?:eso|esto))?|(?:с этим )?(?:я )?не могу (?:с этим |вам |тебе )*помочь|我?(?:无法|不能)(?:为您|为你)?(?:帮助|协助|提供帮助)(?:您|你)?|お手伝いできません|도와드릴 수 없습니다)[^\p{L}]*\z"
 
 
-def _refusal(text: Column) -> Column:
-    out = text.rlike(_SHORT)
-    for a, b in _DECLINE.values():
-        out = out | (text.rlike(f"(?i){a}") & text.rlike(f"(?i){b}"))
+# Parts of words of which each language's refusals hold at least one; a plain look for them comes before the expressions.
+_STEMS = {
+    "en": "translat,language model,AI,assistant,polic,guideline,render,request,content,prompt,passage,text,material,line,comply",
+    "de": "bersetz,sprachmodell,KI,richtlinie,anfrage",
+    "fr": "tradu,langage,IA,politique,demande,requête,ce contenu,ce texte,ce passage",
+    "es": "traduc,lenguaje,IA,política,solicitud,petición,este texto,este contenido,este pasaje",
+    "ru": "перев,языковая,ИИ,политик,запрос,этот текст,содержани,контент",
+    "zh": "翻译,翻譯,译文,譯文,语言模型,語言模型,人工智能,政策,请求,內容,内容,文本",
+    "ja": "翻訳,言語モデル,AI,ポリシー,リクエスト,要望,この,コンテンツ",
+    "ko": "번역,언어 모델,AI,정책,요청,이 내용,이 텍스트,이 문장,콘텐츠",
+}
+
+
+def _long_refusal(text: Column, low: Column) -> Column:
+    out = F.lit(False)
+    for lang, (a, b) in _DECLINE.items():
+        named = F.lit(False)
+        for stem in _STEMS[lang].split(","):
+            named = named | (text if stem.isupper() else low).contains(stem)
+        # both in one sentence or its neighbour
+        out = out | named & text.rlike(f"(?iu)(?:{a})[\\s\\S]{{0,90}}(?:{b})|(?:{b})[\\s\\S]{{0,90}}(?:{a})")
     return out
 
 
+def _refusal(text: Column, low: Column) -> Column:
+    return text.rlike(_SHORT) | _long_refusal(text, low)
+
+
 def _declines(text: Column) -> Column:
     """Whether a prompt itself speaks of declining a translation or a request."""
-    out = F.lit(False)
-    for a, b in _DECLINE.values():
-        out = out | (text.rlike(f"(?i){a}") & text.rlike(f"(?i){b}"))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(_long_refusal(text, F.lower(text)), F.lit(False))
 
 
 def _repeatable(text: Column) -> Column:
@@ -171,11 +188,13 @@ def fit_languages(labelled: DataFrame, per_language: int = langid.SAMPLE_PER_LAN
 
 def _staged(pairs: DataFrame) -> DataFrame:
     """Pairs with a letter in the prompt and the defect that the pair itself shows, if any."""
-    p = pairs.filter(F.col("prompt").rlike(r"\p{L}")).withColumn("response", F.coalesce("response", F.lit("")))
+    p = pairs.filter(F.col("prompt").rlike(r"\p{L}")).withColumn("response", F.coalesce("response", F.lit(""))).withColumn("low", F.lower("response"))
     r, q = F.col("response"), F.col("prompt")
     empty = ~r.rlike(r"[\p{L}\p{N}]") | r.rlike(_STAND) | r.rlike(_JSON_EMPTY)
-    copy = (F.lower(r) == F.lower(q)) | (canonical(r) == canonical(q))
-    first = F.when(empty, "empty").when(_refusal(r) & ~_declines(q), "refusal").when(copy, F.when(_repeatable(q), "fine").otherwise("copy"))
+    lead = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}]", 0))
+    # Copies agree in their first letter, which rules most pairs out before whole texts are compared.
+    copy = (lead(r) == lead(q)) & (canonical(r) == canonical(q))
+    first = F.when(empty, "empty").when(_refusal(r, F.col("low")) & ~_declines(q), "refusal").when(copy, F.when(_repeatable(q), "fine").otherwise("copy"))
     return cut(p.withColumn("kind", first).select("key", "src", "prompt", "response", "lang", "prompt_lang", "kind"), "pairs-staged")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import copies, encoding, forms, pairs, sentences, splitting
-from termloom.session import table
+from termloom.llm import copies, encoding, forms, leaks, mixing, neighbours, pairs, sentences, splitting
+from termloom.session import cut, small_side, table
 
 
 def p1_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).filter("piece = 1").select("row_idx").distinct()
 
 
+#: Width of the vectors of vector_index that take part.
+WIDTH = 96
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every vector."""
+    return neighbours.nearest(table(spark, sf_dir, "vector_index"), "pos", "embedding", WIDTH)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one has the other among its five most similar, at a cosine of 0.75 or more."""
+    got = p3_neighbours(spark, sf_dir).filter("cosine >= 0.75")
+    return got.select(F.least("pos", "other").alias("pos_a"), F.greatest("pos", "other").alias("pos_b")).distinct()
+
+
+def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose pos is divisible by 100 as a query against all, by greedy walks on the graph."""
+    units = cut(neighbours.unit_vectors(table(spark, sf_dir, "vector_index"), "pos", "embedding", WIDTH), "search-units")
+    nodes, _ = neighbours.distinct_vectors(units)
+    nodes = cut(nodes, "search-nodes")
+    graph = neighbours.knn_graph(nodes, WIDTH)
+    asked = units.filter("key % 100 = 0").select(F.col("key").alias("query"), "unit")
+    return neighbours.greedy_search(asked, nodes, graph, k=6).filter("query <> node")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "string_rows").select(F.col("row_idx").alias("key"), "id", "source")
     raw = copies.parse_records(table(spark, sf_dir, "raw_records"), "rec_id", "xml")
@@ -48,12 +73,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(_records(spark, sf_dir))[1].distinct()
 
 
-def _pairs(spark: SparkSession, sf_dir: str, drop_garbled: bool = True) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows sent to the translator as pairs; sources stand repaired, responses that p1 finds are left out."""
     rows = table(spark, sf_dir, "string_rows").select("row_idx", "plugin", "source", "dest", "provider", "attempt")
-    fixed = encoding.garbled(rows, "row_idx", "plugin", ["source", "dest"])
-    source = fixed.filter("field = 'source'").select("row_idx", F.col("restored").alias("_fixed"))
-    bad = fixed.filter("field = 'dest'").select("row_idx")
+    fixed = cut(encoding.garbled(rows, "row_idx", "plugin", ["source", "dest"]), "pairs-repairs")
+    source = small_side(fixed.filter("field = 'source'").select("row_idx", F.col("restored").alias("_fixed")))
+    bad = small_side(fixed.filter("field = 'dest'").select("row_idx"))
     langs = table(spark, sf_dir, "plugins").select("plugin", "src_lang", "dst_lang").dropDuplicates(["plugin"])
     sent = rows.filter("attempt >= 1").join(bad, "row_idx", "left_anti").join(source, "row_idx", "left").join(langs, "plugin", "left")
     return sent.select(
@@ -97,6 +122,30 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_forms(spark, sf_dir).join(bad, ["tbl", "key"], "left_anti").select("tbl", "key").distinct()
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of an evaluation item in a document, exact or in close order."""
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items of which they hold a passage."""
+    return p8_passages(spark, sf_dir).filter("kind = 'phrase'").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their copies."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of every document."""
     return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "start_char", "end_char").distinct()
