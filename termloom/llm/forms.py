@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 CYRILLIC_LIKE = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
 GREEK_LIKE = {"α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X"}
 
+# Radicals without a decomposition in Unicode's tables, and the ideograph of the same look.
+_RADICALS = "⺁厂⺂乛⺃乚⺄乙⺅亻⺆冂⺇几⺈刀⺉刂⺊卜⺋㔾⺌小⺍小⺎兀⺏尣⺐尢⺑尣⺒巳⺓幺⺔彑⺕彐⺖忄⺗心⺘扌⺙攵⺛旡⺜日⺝月⺞歺⺠民⺡氵⺢氺⺣灬⺤爫⺥爫⺦丬⺧牛⺨犭⺩王⺪疋⺫罒⺬示⺭礻⺮竹⺯糹⺰纟⺱罓⺲罒⺳㓁⺴冗⺵罒⺶羊⺷羊⺸羋⺹耂⺺肀⺻聿⺼月⺽臼⺾艹⺿艹⻀艹⻁虎⻂衤⻃覀⻄西⻅见⻆角⻇角⻈讠⻉贝⻊足⻋车⻌辶⻍辶⻎辶⻏阝⻐钅⻑長⻒镸⻓长⻔门⻕阜⻖阝⻗雨⻘青⻙韦⻚页⻛风⻜飞⻝食⻞食⻟飠⻠饣⻡首⻢马⻣骨⻤鬼⻥鱼⻦鸟⻧卤⻨麦⻩黄⻪黾⻫斉⻬齐⻭歯⻮齿⻯竜⻰龙⻱龜⻲亀"
+RADICAL_LIKE = dict(zip(_RADICALS[::2], _RADICALS[1::2]))
+
 #: Compatibility forms that are ordinary letters of their own script.
 _ORDINARY = {0x0E33, 0x0EB3, 0x0EDC, 0x0EDD, 0x00B5, 0x0F77, 0x0F79}
 #: Kinds of compatibility that make a sign, not a letter in another dress.
@@ -33,7 +37,7 @@ NOTHING = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x
 @lru_cache(1)
 def compatible() -> tuple[dict[str, str], dict[str, str]]:
     """Compatibility forms of letters and digits: those that map to one character, and the rest."""
-    one, more = {}, {}
+    one, more = dict(RADICAL_LIKE), {}
     for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x1F100, 0x1F1AD), *range(0x1FBF0, 0x1FBFA), *range(0x2F800, 0x2FA20)]:
         c = chr(cp)
         d = unicodedata.decomposition(c)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 #: Characters before and after a position that a rule may look at.
 WINDOW = 160
 
-_CLOSE = r"[\"'”’»“›\)\]）】」』〉》\*_]"
+# „…“ closes with the mark that opens “…”: it closes where no word follows.
+_CLOSE = r"(?:[\"'”’»›\)\]）】」』〉》\*_]|“(?![^\W_]|[「『{<\[]))"
 _END = r"[.!?…。！？।॥｡]"
 _ENDS = rf"{_END}+(?:(?:[  ]?»|{_CLOSE}|</\w+>)*{_END}+)*"
 #: A candidate: closing marks with what they close, or any blank between Thai characters.
