@@ -73,8 +73,11 @@ _RUN_1252 = re.compile("[" + "".join(re.escape(c) for c in _ONE_BYTE["cp1252"])
 _CYR_ODD = re.compile("[а-яё][А-ЯЁ]|[Ѐ-ЏѐЂђ-џ─-◿⌠⌡≈∙√]")
 _CYR = re.compile("[Ѐ-ӿ]")
 _MIXED = re.compile("[A-Za-zÀ-ÿ][Ѐ-ӿ一-鿿가-힣]|[Ѐ-ӿ一-鿿가-힣][A-Za-zÀ-ÿ]")
-_CYR_WORD = re.compile("[Ѐ-ӿ─-◿]+")
+#: KOI8 and Windows-1251 swap small and capital letters; code page 866 leaves signs.
+_CYR_SWAPPED = re.compile("[а-яё][А-ЯЁ]+|[А-ЯЁ]{2,}")
+_CYR_SIGNED = re.compile("\\S*[^\\s!-~А-яЁё«»“”„’–—…]\\S*")
 _CJK = re.compile("[⺀-퟿豈-﫿｡-ﾟ-]")
+_RARE = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u045f\u2000-\u203a\u20ac\u2122\u3000-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff01-\uffe5\ufeff\ufffd]")
 _LATIN = re.compile("[A-Za-z]")
 _LETTER = re.compile("[^\\W\\d_]")
 
@@ -132,19 +135,21 @@ def _bytes_1252(s: str) -> bytes:
     return bytes(t.get(c, ord(c)) for c in s)
 
 
+_WIDTHS: dict[str, np.ndarray] = {}
+
+
+def _widths(w: str) -> np.ndarray:
+    """Bytes of every character in a many-byte encoding; one for those that it lacks."""
+    if w not in _WIDTHS:
+        _WIDTHS[w] = np.fromiter((len(chr(i).encode(w, "replace")) for i in range(charlm.UNIGRAM_SLOTS)), np.int64, charlm.UNIGRAM_SLOTS)
+    return _WIDTHS[w]
+
+
 def _stretches(text: str, w: str) -> str | None:
     """UTF-8 read as a many-byte encoding: each stretch that reads as UTF-8 again is put back."""
-    parts, ends, n = [], [], 0
-    for c in text:
-        try:
-            b = c.encode(w)
-        except UnicodeEncodeError:
-            b = b"\xff"
-        parts.append(b)
-        n += len(b)
-        ends.append(n)
-    raw = b"".join(parts)
-    ends_a = np.array(ends)
+    raw = text.encode(w, "replace")
+    ends_a = np.cumsum(_widths(w)[charlm.unigram_slots(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))])
+    ends = ends_a
     out, at = [], 0
     latin = len(_LATIN.findall(text)) * 2 > len(_LETTER.findall(text))
     for m in _UTF8_BYTES.finditer(raw):
@@ -154,7 +159,7 @@ def _stretches(text: str, w: str) -> str | None:
         j = int(np.searchsorted(ends_a, m.end(), side="left")) + 1
         if i < at or m.end() == m.start():
             continue
-        lead = m.start() - (ends[i - 1] if i else 0)
+        lead = m.start() - (int(ends[i - 1]) if i else 0)
         out += [text[at:i], "�" * (lead > 0), m.group().decode("utf-8", "replace")]
         at = min(j, len(text))
     if not out:
@@ -218,6 +223,31 @@ def traces(a: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _drop_plain_cjk(texts: list[str], bits: np.ndarray, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Without the texts whose only trace is a script that hides UTF-8 read as a many-byte encoding, if it doesn't.
+
+    The texts of a batch are encoded at once, one line each. Only texts that
+    are mostly Latin letters may hide a single character; others hide two in
+    a row.
+    """
+    only = np.flatnonzero(bits == _B_CJK)
+    if not len(only):
+        return bits
+    latin = ((a | 32) >= 97) & ((a | 32) <= 122)
+    letters = latin | _gates()[6][charlm.unigram_slots(a)]
+    mostly = np.add.reduceat(latin[1:].astype(np.int32), starts) * 2 > np.add.reduceat(letters[1:].astype(np.int32), starts)
+    at = only.tolist()
+    lines = "\n".join(texts[i].replace("\n", " ").replace("\r", " ") for i in at)
+    hit = np.zeros(len(at), bool)
+    for w in _MANY_BYTE:
+        for n, raw in enumerate(lines.encode(w, "replace").split(b"\n")):
+            if not hit[n] and (_THREE.search(raw) or mostly[at[n]] and _SEQ.search(raw)):
+                hit[n] = True
+    out = bits.copy()
+    out[only[~hit]] = 0
+    return out
+
+
 def inversions(text: str, bits: int) -> tuple[list[tuple[str, str]], bool]:
     """Every chain that could have made ``text``, with the text it was made of,
     and whether the trace is structural (such texts don't train the character model)."""
@@ -232,7 +262,8 @@ def inversions(text: str, bits: int) -> tuple[list[tuple[str, str]], bool]:
                     break
                 got, times = new, times + 1
                 out.append((f"utf_8>{w}" + f" x{times}" * (times > 1), got))
-            strong |= times > 0 and w != "cp1251"
+            # Two neighbouring letters may read as some letter of a rare script: that alone is no structure.
+            strong |= times > 0 and w != "cp1251" and not _RARE.search("".join(set(got) - set(text)))
     if bits & _B_LEGACY:
         t = _ONE_BYTE["cp1252"]
         runs = [m for m in _RUN_1252.finditer(text) if len(m.group()) > 1 and sum(c in t for c in m.group()) * 10 >= 3 * len(m.group())]
@@ -253,10 +284,13 @@ def inversions(text: str, bits: int) -> tuple[list[tuple[str, str]], bool]:
     if bits & _B_CYR and len(_CYR.findall(text)) * 2 >= len(_LETTER.findall(text)):
         for chain, back in _CYR_BACK.items():
             out.append((chain, text.translate(back)))
-            # a part of the text: only words that mix cases or hold odd signs
-            part = _CYR_WORD.sub(lambda m: m.group().translate(back) if _CYR_ODD.search(m.group()) or m.group()[:1].islower() and m.group()[1:].isupper() else m.group(), text)
-            if part not in (text, out[-1][1]):
-                out.append((chain, part))
+            # a part of the text: from the first trace to the last
+            spans = [m.span() for m in (_CYR_SIGNED if "cp866" in chain else _CYR_SWAPPED).finditer(text)]
+            if spans:
+                a, b = spans[0][0], spans[-1][1]
+                part = text[:a] + text[a:b].translate(back) + text[b:]
+                if part not in (text, out[-1][1]):
+                    out.append((chain, part))
     if bits & _B_CJK:
         latin = len(_LATIN.findall(text)) * 2 > len(_LETTER.findall(text))
         for w in _MANY_BYTE:
@@ -294,6 +328,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lens = np.diff(np.append(starts, len(a) - 1)) - 1
             bits = traces(a, starts, lens)
             bad: list[int] = []
+            bits = _drop_plain_cjk(texts, bits, a, starts)
             for i in np.flatnonzero(bits).tolist():
                 k, s, t = live[i]
                 found, strong = inversions(t, int(bits[i]))
