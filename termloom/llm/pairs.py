@@ -16,6 +16,7 @@ from a character n-gram naive Bayes model.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,15 +130,19 @@ _STEMS = {
 }
 
 
+def _stem_pattern(langs: list[str]) -> str:
+    """One plain alternation, without flags, over lower-case text."""
+    stems = sorted({x.lower() for lang in langs for x in _STEMS[lang].split(",")})
+    short = [x for x in stems if len(x) == 2 and x.isalpha() and (x.isascii() or x == "ии")]
+    return "|".join([re.escape(x) for x in stems if x not in short] + [rf"(?<!\p{{L}}){x}(?![a-zа-я])" for x in short])
+
+
 def _long_refusal(text: Column, low: Column) -> Column:
     out = F.lit(False)
     for lang, (a, b) in _DECLINE.items():
-        named = F.lit(False)
-        for stem in _STEMS[lang].split(","):
-            named = named | (text if stem.isupper() else low).contains(stem)
         # both in one sentence or its neighbour
-        out = out | named & text.rlike(f"(?iu)(?:{a})[\\s\\S]{{0,90}}(?:{b})|(?:{b})[\\s\\S]{{0,90}}(?:{a})")
-    return out
+        out = out | low.rlike(_stem_pattern([lang])) & text.rlike(f"(?iu)(?:{a})[\\s\\S]{{0,90}}(?:{b})|(?:{b})[\\s\\S]{{0,90}}(?:{a})")
+    return low.rlike(_stem_pattern(list(_DECLINE))) & out
 
 
 def _refusal(text: Column, low: Column) -> Column:
