@@ -151,3 +151,19 @@ def log(message: str, level: str = "INFO", configured: str = "INFO", file: str |
             f.write(line + "\n")
     (to or print)(line)
     return line
+
+
+def log_tail(path: str, n: int = 200) -> list[str]:
+    """The last ``n`` lines of a log file, read from its end; none without a file."""
+    try:
+        with open(path, "rb") as f:
+            f.seek(0, os.SEEK_END)
+            at, data = f.tell(), b""
+            while at and data.count(b"\n") <= n:
+                step = min(at, 1 << 16)
+                at -= step
+                f.seek(at)
+                data = f.read(step) + data
+    except OSError:
+        return []
+    return data.decode("utf-8", "replace").splitlines()[-n:] if n > 0 else []

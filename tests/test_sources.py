@@ -76,6 +76,8 @@ def test_log(tmp_path):
     f, seen = tmp_path / "l.txt", []
     assert C.log("x", "debug", "INFO", str(f), seen.append) is None
     assert C.log("y", "odd", "INFO", str(f), seen.append).endswith("y") and f.read_text().count("\n") == 1
+    f.write_text("".join(f"line {i}\n" for i in range(30_000)))
+    assert C.log_tail(str(f), 3) == ["line 29997", "line 29998", "line 29999"] and C.log_tail(str(tmp_path / "no")) == []
     assert C.styles(["b", "nsfw", "a", "default"]) == ["default", "nsfw", "a", "b"] and C.pick_style("q", ["b", "a"]) == "a"
 
 
