@@ -186,8 +186,12 @@ def _judge(model_b, least: float):
 
 def fit_languages(labelled: DataFrame, per_language: int = langid.SAMPLE_PER_LANGUAGE) -> langid.NaiveBayes | None:
     """A model from (lang, text, h), the ``per_language`` texts with the smallest hash ``h`` of each language."""
-    w = Window.partitionBy("lang").orderBy("h", "text")
-    got = labelled.filter("lang is not null and text is not null and text <> ''").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_language).select("lang", "text").toPandas()
+    ok = labelled.filter("lang is not null and text is not null and text <> ''")
+    # A row per language code. Hashes below a language's fraction leave about twice the sample, whatever its size.
+    n = ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    near = ok.join(F.broadcast(n), "lang").filter(F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(float(1 << 30) * 2 * per_language))
+    w = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text")
+    got = near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_language).select("lang", "text").toPandas()
     return langid.NaiveBayes(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
 
