@@ -35,7 +35,9 @@ LANGUAGE_NAMES = {
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"\A[\s\p{Z}\x{1C}-\x{1F}\x{85}]+|[\s\p{Z}\x{1C}-\x{1F}\x{85}]+\z", "")
+    b = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
+    # the look back keeps long blanks inside a text from being tried from each of their characters
+    return F.regexp_replace(x, rf"\A{b}+|(?<!{b}){b}+\z", "")
 
 
 def norm_key(x: Column) -> Column:
@@ -94,7 +96,7 @@ def parse_keyword_array(response: Column) -> Column:
     whole = F.from_json(r, "array<string>")
     shut = r.startswith("[") & r.endswith("]")
     # up to the last string that a comma or bracket follows
-    cut = F.regexp_extract(r, r'(?s)\A(\[.*"(?:[^"\\]|\\.)*")\s*[,\]]', 1)
+    cut = F.regexp_extract(r, r'(?s)\A(\[.*"(?:[^"\\]++|\\.)*+")\s*[,\]]', 1)
     saved = F.from_json(F.concat(cut, F.lit("]")), "array<string>")
     out = F.when(shut & whole.isNotNull(), whole).when(r.startswith("[") & (cut != ""), saved)
     return F.coalesce(F.filter(out, lambda w: w.isNotNull()), F.array().cast("array<string>"))

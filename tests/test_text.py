@@ -20,7 +20,7 @@ def test_possessive(spark, given, want):
     assert one(spark, T.strip_possessive(F.col("a")), a=given) == want
 
 
-@pytest.mark.parametrize("given,want", [('```json\n["A","B"]\n```', ["A", "B"]), ('["A","B","C', ["A", "B"]), ('{"a":1}', []), ("", []), ("text", [])])
+@pytest.mark.parametrize("given,want", [('```json\n["A","B"]\n```', ["A", "B"]), ('["A","B","C', ["A", "B"]), ('{"a":1}', []), ('["' + "x" * 50_000 + '","B', ["x" * 50_000]), ("", []), ("text", [])])
 def test_keyword_array(spark, given, want):
     assert one(spark, T.parse_keyword_array(F.col("a")), a=given) == want
 
