@@ -114,6 +114,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, text: str, v
         for g in got:
             s, gap = g.source, g.f - goal[g.source]
             worst = max(worst, abs(gap) / goal[s])
+            if abs(gap) < 1e-6 * goal[s]:
+                continue  # solved: its interval has closed
             if gap < 0:
                 lo[s] = lam[s]
             else:
