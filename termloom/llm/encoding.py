@@ -75,7 +75,7 @@ _CYR = re.compile("[Ѐ-ӿ]")
 _MIXED = re.compile("[A-Za-zÀ-ÿ][Ѐ-ӿ一-鿿가-힣]|[Ѐ-ӿ一-鿿가-힣][A-Za-zÀ-ÿ]")
 #: KOI8 and Windows-1251 swap small and capital letters; code page 866 leaves signs.
 _CYR_SWAPPED = re.compile("[а-яё][А-ЯЁ]+|[А-ЯЁ]{2,}")
-_CYR_SIGNED = re.compile("\\S*[^\\s!-~А-яЁё«»“”„’–—…]\\S*")
+_CYR_SIGNED = re.compile("[^\\s!-~А-яЁё«»“”„’–—…]")
 _CJK = re.compile("[⺀-퟿豈-﫿｡-ﾟ-]")
 _RARE = re.compile("[^\u0000-\u024f\u0300-\u036f\u0400-\u045f\u2000-\u203a\u20ac\u2122\u3000-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff01-\uffe5\ufeff\ufffd]")
 _LATIN = re.compile("[A-Za-z]")
@@ -288,6 +288,8 @@ def inversions(text: str, bits: int) -> tuple[list[tuple[str, str]], bool]:
             spans = [m.span() for m in (_CYR_SIGNED if "cp866" in chain else _CYR_SWAPPED).finditer(text)]
             if spans:
                 a, b = spans[0][0], spans[-1][1]
+                if "cp866" in chain:  # signs stand inside words: take the words whole
+                    a, b = text.rfind(" ", 0, a) + 1, (text + " ").find(" ", b)
                 part = text[:a] + text[a:b].translate(back) + text[b:]
                 if part not in (text, out[-1][1]):
                     out.append((chain, part))

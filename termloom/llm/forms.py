@@ -102,7 +102,7 @@ _ARROW = pa.schema([("key", pa.int64()), ("form", pa.string())])
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB"})
     sql = form_sql()
     for b in batches:
         if not b.num_rows:

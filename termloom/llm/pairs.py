@@ -30,7 +30,7 @@ from termloom.llm.copies import canonical
 from termloom.session import cut
 
 #: Closing quotes, brackets, emphasis, markup and blanks that may follow a sentence's last mark.
-_TRAIL = r"(?:[\s\p{Z}\"'”’»“›」』】〉》)）\]}*_~`|]|</?\w+[^<>]*>|\[/?\w+\])*"
+_TRAIL = r"(?:[\s\p{Z}\"'”’»“›」』】〉》)）\]}*_~`|]++|</?\w+[^<>]*>|\[/?\w+\])*+"
 _CLOSED = rf"[.!?…。！？।؟｡]{_TRAIL}\z"
 _MARKUP = r"<[^<>]{0,200}>|\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|%[-+0-9.]*[a-zA-Z]|\\[nrt]"
 

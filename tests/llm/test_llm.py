@@ -194,7 +194,7 @@ def test_defects(spark):
         (EN[0], "I'm sorry, but I can't translate this content.", "refusal"), (EN[0], '"Es tut mir leid, diesen Text kann ich nicht übersetzen."', "refusal"),
         (EN[2], EN[2].upper(), "copy"), ("Iron Sword", "»iron sword«", "copy"), (EN[1], DE[1][:33], "truncated"),
         (EN[3], FR[3], "wrong_language"), ("HUD", "HUD", None), ("%d / {0}", "", "empty"), ("12 / 5", "", None), (None, "", None), ("Iron Sword", "Eisenschwert", None),
-        ("I'm sorry, I can't translate this text for you.", "Es tut mir leid, ich kann diesen Text nicht für Euch übersetzen.", None), (EN[0][:-1], DE[0][:-1], None), (EN[0] * 400, DE[0] * 400, None),
+        ("I'm sorry, I can't translate this text for you.", "Es tut mir leid, ich kann diesen Text nicht für Euch übersetzen.", None), (EN[0][:-1], DE[0][:-1], None), (EN[0] * 400, DE[0] * 400, None), (EN[0] + " " * 30_000, DE[0] + " \n" * 30_000, None), (EN[0], "<b>" * 9000 + DE[0][:20] + "</b>" * 9000, "truncated"),
     ]
     rows += [(10_000 + i, "c", p, r, "en", "de") for i, (p, r, _) in enumerate(odd)]
     df = spark.createDataFrame(rows, PAIR).withColumn("low", F.lit(1)).withColumn("kind", F.lit("z"))
