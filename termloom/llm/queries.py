@@ -1,4 +1,7 @@
-"""The queries of the ten problems, each over its whole tables."""
+"""The queries of the ten problems, each over its whole tables.
+
+The tables' keys are unique, so rows are distinct without a shuffle to make them so.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ def p1_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of string_rows whose text was decoded with the wrong encoding."""
-    return p1_repairs(spark, sf_dir).select("row_idx", "field").distinct()
+    return p1_repairs(spark, sf_dir).select("row_idx", "field")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of string_rows whose source had to be split."""
-    return p2_pieces(spark, sf_dir).filter("piece = 1").select("row_idx").distinct()
+    return p2_pieces(spark, sf_dir).filter("piece = 1").select("row_idx")
 
 
 #: Width of the vectors of vector_index that take part.
@@ -70,14 +73,15 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record that is a copy of one with a smaller key."""
-    return copies.copies(_records(spark, sf_dir))[1].distinct()
+    return copies.copies(_records(spark, sf_dir))[1]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows sent to the translator as pairs; sources stand repaired, responses that p1 finds are left out."""
     rows = table(spark, sf_dir, "string_rows").select("row_idx", "plugin", "source", "dest", "provider", "attempt")
     fixed = cut(encoding.garbled(rows, "row_idx", "plugin", ["source", "dest"]), "pairs-repairs")
-    source = small_side(fixed.filter("field = 'source'").select("row_idx", F.col("restored").alias("_fixed")))
+    # Texts are wider than keys, so fewer of them may be broadcast.
+    source = small_side(fixed.filter("field = 'source'").select("row_idx", F.col("restored").alias("_fixed")), 20_000)
     bad = small_side(fixed.filter("field = 'dest'").select("row_idx"))
     langs = table(spark, sf_dir, "plugins").select("plugin", "src_lang", "dst_lang").dropDuplicates(["plugin"])
     sent = rows.filter("attempt >= 1").join(bad, "row_idx", "left_anti").join(source, "row_idx", "left").join(langs, "plugin", "left")
@@ -119,7 +123,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with characters that stand in for ordinary ones; wrongly decoded sources aren't cases."""
     garbled = encoding.garbled(table(spark, sf_dir, "string_rows"), "row_idx", "plugin", ["source"])
     bad = garbled.select(F.lit("string_rows").alias("tbl"), F.col("row_idx").alias("key"))
-    return p7_forms(spark, sf_dir).join(bad, ["tbl", "key"], "left_anti").select("tbl", "key").distinct()
+    return p7_forms(spark, sf_dir).join(bad, ["tbl", "key"], "left_anti").select("tbl", "key")
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +152,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of every document."""
-    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "start_char", "end_char").distinct()
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id", "start_char", "end_char")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -158,4 +162,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that SQL can express."""
-    return {}
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+    def grams(table: str, key: str, tokens: str, n: int, keep: str) -> str:
+        runs = f"list_transform(range(1, len(t) - {n - 2}), lambda i: array_to_string(t[i:i + {n - 1}], ' '))"
+        return f"SELECT {key}, unnest({runs}) AS gram FROM (SELECT {key}, {tokens} AS t FROM {table} WHERE text IS NOT NULL AND {keep})"
+
+    signs = f"string_split(array_to_string({words}, ''), '')"
+    by_sign = "lang IN ('zh', 'ja')"
+    return {
+        "p2_found": """SELECT row_idx FROM string_rows s WHERE length(source) > coalesce(
+            (SELECT max_chars FROM split_limits l WHERE l.provider = coalesce(s.provider, '*')), (SELECT max_chars FROM split_limits l WHERE l.provider = '*'))""",
+        "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({grams("documents", "doc_id", words, 12, "true")}) d
+            JOIN ({grams("eval_items", "item_id", words, 12, f"coalesce(NOT {by_sign}, true)")}) i USING (gram)
+            UNION SELECT DISTINCT doc_id, item_id FROM ({grams("documents", "doc_id", signs, 20, "true")}) d
+            JOIN ({grams("eval_items", "item_id", signs, 20, by_sign)}) i USING (gram)""",
+    }
