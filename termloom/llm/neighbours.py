@@ -4,8 +4,9 @@ NN-descent: a graph of neighbour lists starts from random-projection blocks
 and improves by joins of neighbours of neighbours, since a neighbour of a
 neighbour is likely a neighbour. Each round sends every node its members
 (its list, and a bounded sample of the nodes that list it) as int8 vectors,
-compares all members with one another, and keeps what improves a list. The
-lists' last step compares the exact vectors. Queries walk the graph: from
+compares all members with one another, and keeps what improves a list, until
+hardly a list changes. Blocks stay as small as they are while the table grows:
+projections get more bits and there are more of them. The lists' last step compares the exact vectors. Queries walk the graph: from
 their entry nodes they move to the neighbours closest to them until nothing
 closer turns up.
 
@@ -15,6 +16,7 @@ the end, so a vector that a third of all rows share is one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +59,12 @@ def _unpack(cells: list[bytes]) -> np.ndarray:
     return q / np.linalg.norm(q, axis=1, keepdims=True)
 
 
+def _projections(n: int) -> tuple[int, int]:
+    """(trees, bits) for ``n`` nodes: a code holds about half a block, and orders multiply with log n since each separates more."""
+    bits = max(6, math.ceil(math.log2(max(n, 1) / BLOCK * 2)))
+    return max(4, 2 * bits - 8), bits
+
+
 def _packer(trees: int, bits: int, width: int, seed: int):
     """(tree, code, proj, a, q): a row's place in every random-projection order."""
     arrow = pa.schema([("tree", pa.int32()), ("code", pa.int64()), ("proj", pa.float64()), ("a", pa.int64()), ("q", pa.binary())])
@@ -164,33 +172,49 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
-def knn_graph(units: DataFrame, width: int, k: int = 12, rounds: int = 3, trees: int = 4, bits: int = 6, partitions: int | None = None, seed: int = 7) -> DataFrame:
-    """(a, b, sim): about the ``k`` nearest nodes of every node of ``units`` (key, unit), similarities from int8 vectors."""
+def knn_graph(units: DataFrame, width: int, k: int = 12, delta: float = 0.001, trees: int | None = None, bits: int | None = None, partitions: int | None = None, seed: int = 7) -> DataFrame:
+    """(a, b, sim): about the ``k`` nearest nodes of every node of ``units`` (key, unit), similarities from int8 vectors.
+
+    Rounds go on until at most a share ``delta`` of all edges is new; lists
+    only improve, so they end. ``trees`` and ``bits`` grow with the table
+    unless they are given.
+    """
     spark = units.sparkSession
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(units.mapInArrow(_packer(trees, bits, width, seed), "tree int, code bigint, proj double, a bigint, q binary"), "knn-placed")
+    grown = _projections(units.count())
+    placed = cut(units.mapInArrow(_packer(trees or grown[0], bits or grown[1], width, seed), "tree int, code bigint, proj double, a bigint, q binary"), "knn-placed")
     packed = placed.filter("tree = 0").select("a", "q")
     # A range order has no hot bucket: equal codes are told apart by the projection.
     order = placed.repartitionByRange(n_part, "tree", "code", "proj", "a").sortWithinPartitions("tree", "code", "proj", "a")
     edges = order.select("tree", "a", "q").mapInArrow(_blocks(k), _EDGES)
     graph = cut(_best(edges, k).select("a", "b", "sim", F.lit(True).alias("fresh")), "knn-start")
-    for r in range(rounds):
+    r = 0
+    while _changed(graph) > delta:
         last = graph.groupBy("a").agg(F.min("sim").alias("floor"), F.count(F.lit(1)).alias("n"))
         last = last.select("a", F.when(F.col("n") >= k, F.col("floor")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
         forward = graph.select(F.col("a").alias("c"), F.col("b").alias("m"), "fresh")
-        # Popular nodes hear from a sample of those that list them; it is drawn anew each round.
-        w = Window.partitionBy("c").orderBy(F.xxhash64("m", F.lit(r)))
+        # Popular nodes hear from a sample of those that list them, new ones first; it is drawn anew each round.
+        w = Window.partitionBy("c").orderBy(F.col("fresh").desc(), F.xxhash64("m", F.lit(r)))
         reverse = graph.select(F.col("b").alias("c"), F.col("a").alias("m"), "fresh").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
-        members = forward.unionByName(reverse).groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
+        members = forward.unionByName(reverse).repartition(n_part, "c").groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
+        # Centres without a new member have nothing left to compare.
+        members = members.withColumn("live", F.max("fresh").over(Window.partitionBy("c"))).filter("live").drop("live")
         sent = members.join(packed.join(last, "a").withColumnRenamed("a", "m"), "m").select("c", "m", "q", "floor", "fresh")
         found = sent.repartition(n_part, "c").sortWithinPartitions("c").mapInArrow(_join_local(max(4, k // 2)), _EDGES)
         every = graph.select("a", "b", "sim", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
         both = every.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
         w2 = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
         graph = cut(both.withColumn("rn", F.row_number().over(w2)).filter(F.col("rn") <= k).select("a", "b", "sim", (F.col("old") == 0).alias("fresh")), "knn-round")
+        r += 1
     return graph.select("a", "b", "sim")
 
 
+def _changed(graph: DataFrame) -> float:
+    """Share of a written graph's edges that its last round brought."""
+    n, fresh = graph.agg(F.count(F.lit(1)), F.sum(F.col("fresh").cast("bigint"))).first()
+    return (fresh or 0) / max(n, 1)
+
+
 def _cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -212,7 +236,7 @@ def distinct_vectors(units: DataFrame, digits: int = 6) -> tuple[DataFrame, Data
     return nodes, members
 
 
-def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_k: int = 12, rounds: int = 3, trees: int = 4) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_k: int = 12) -> DataFrame:
     """(key, other, cosine, rank): the ``k`` most similar others of every vector of ``width`` numbers.
 
     Vectors of another width, null, empty, with nulls or not finite, and
@@ -224,7 +248,7 @@ def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_
     units = unit_vectors(df, key, vector, width)
     nodes, members = distinct_vectors(units)
     nodes, members = cut(nodes, "knn-nodes"), cut(members, "knn-members")
-    graph = knn_graph(nodes, width, graph_k, rounds, trees)
+    graph = knn_graph(nodes, width, graph_k)
     vec = nodes.select(F.col("key").alias("a"), F.col("unit").alias("ua"))
     pairs = graph.select("a", "b").join(nodes.select(F.col("key").alias("b"), F.col("unit").alias("ub")), "b").join(vec, "a").select("a", "b", "ua", "ub")
     sims = pairs.mapInArrow(_exact, "a bigint, b bigint, sim double")

@@ -125,6 +125,22 @@ def test_neighbours_recall(spark):
     assert sum(len({r.node for r in walk if r.query == q} & set(near[q])) for q in qs) >= 0.9 * 5 * len(qs)
 
 
+def test_neighbours_go_on_until_lists_stay(spark, monkeypatch):
+    # One tree with one bit places few neighbours in a block, so three rounds aren't enough.
+    r = np.random.default_rng(5)
+    m = r.normal(size=(2000, 6)) @ r.normal(size=(6, 24))
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "key bigint, unit array<double>").repartition(3)
+    shares, changed = [], neighbours._changed
+    monkeypatch.setattr(neighbours, "_changed", lambda g: shares.append(changed(g)) or shares[-1])
+    assert neighbours.knn_graph(units, 24, trees=1, bits=1).count() == 12 * 2000
+    assert len(shares) > 4 and shares[-1] <= 0.001 < min(shares[:-1])
+
+
+def test_projections_grow():
+    sizes = [neighbours._projections(n) for n in (1, 5_000, 50_000, 500_000)]
+    assert sizes[0] == (4, 6) and sizes == sorted(sizes) and len({t for t, _ in sizes[1:]}) == len({b for _, b in sizes[1:]}) == 3
+
+
 def test_neighbours_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], "pos bigint, e array<float>"), "pos", "e", 4).count() == 0
 
