@@ -7,8 +7,8 @@ neighbour is likely a neighbour. Each round sends every node its members
 compares all members with one another, and keeps what improves a list, until
 hardly a list changes. Blocks stay as small as they are while the table grows:
 projections get more bits and there are more of them. The lists' last step compares the exact vectors. Queries walk the graph: from
-their entry nodes they move to the neighbours closest to them until nothing
-closer turns up.
+the nodes next to them in the projections' orders they move to the neighbours
+closest to them until nothing closer turns up.
 
 Vectors that are equal count once in the graph; their positions come back at
 the end, so a vector that a third of all rows share is one node.
@@ -125,6 +125,41 @@ def _blocks(k: int):
     return run
 
 
+def _meet(k: int):
+    """(query, node) of each query's ``k`` best nodes in its block of every order."""
+    arrow = pa.schema([("query", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        qs: list[bytes] = []
+        asked: list[tuple[int, bytes, int]] = []
+        tree = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            u, m = _unpack(qs) if ids and asked else None, min(k, len(ids))
+            for at in range(0, len(asked) if m else 0, 4096):
+                some = asked[at : at + 4096]
+                top = np.argpartition(-(_unpack([x[1] for x in some]) @ u.T), m - 1, axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[0] for x in some], np.int64), m)), pa.array(np.array(ids, np.int64)[top.ravel()])], schema=arrow)
+
+        for b in batches:
+            for t, asks, a, q in zip(*(x.to_pylist() for x in b.columns)):
+                if t != tree or not asks and len(ids) >= BLOCK:
+                    yield from flush()
+                    half = BLOCK // 2
+                    # what stands in the second half meets the next nodes too
+                    ids, qs, asked = (ids[half:], qs[half:], [(x, y, n - half) for x, y, n in asked if n > half]) if t == tree else ([], [], [])
+                    tree = t
+                if asks:
+                    asked.append((a, q, len(ids)))
+                else:
+                    ids.append(a)
+                    qs.append(q)
+        yield from flush()
+
+    return run
+
+
 def _join_local(m: int):
     """All members of a centre compared; for each member its ``m`` best that beat its list's last."""
 
@@ -264,12 +299,28 @@ def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_
     return got.select(F.col("key").alias(key), F.posexplode("l").alias("rank", "x")).select(key, F.col("x.other").alias("other"), F.col("x.sim").alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 5, beam: int = 16, steps: int = 8, entries: int = 48, seed: int = 11) -> DataFrame:
-    """(query, node, cosine): the ``k`` best nodes that walking the graph from fixed entry nodes finds for each query.
+def _entries(queries: DataFrame, nodes: DataFrame, per_tree: int, seed: int) -> DataFrame:
+    """(query, node): nodes next to each query in the orders of random projections."""
+    spark = queries.sparkSession
+    first = nodes.select(F.size("unit")).first()
+    if first is None:
+        return spark.createDataFrame([], "query bigint, node bigint")
+    trees, bits = _projections(nodes.count())
+    placed = lambda df: df.mapInArrow(_packer(trees, bits, first[0], seed), "tree int, code bigint, proj double, a bigint, q binary")
+    both = placed(nodes.select("key", "unit")).withColumn("asks", F.lit(False)).unionByName(placed(queries.select("query", "unit")).withColumn("asks", F.lit(True)))
+    at = ["tree", "code", "proj", "a", "asks"]
+    order = both.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *at).sortWithinPartitions(*at)
+    return order.select("tree", "asks", "a", "q").mapInArrow(_meet(per_tree), "query bigint, node bigint")
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 5, beam: int = 16, entries: int = 48, seed: int = 11) -> DataFrame:
+    """(query, node, cosine): the ``k`` best nodes that walking the graph finds for each query.
 
     ``queries`` is (query, unit), ``nodes`` (key, unit), ``graph`` (a, b). A
     query keeps its ``beam`` best nodes and expands those it hasn't expanded;
-    a round is two joins, and a walk without new nodes is over.
+    a round is two joins, and only a walk without new nodes is over. It starts
+    from nodes next to the query in random projections, and from ``entries``
+    fixed ones, so that no query is without an entry.
     """
     q = queries.select("query", F.col("unit").alias("uq"))
     n = nodes.select(F.col("key").alias("node"), F.col("unit").alias("un"))
@@ -284,12 +335,24 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int
         s = pairs.select("query", "node", "uq", "un").mapInArrow(_exact, "a bigint, b bigint, sim double")
         return s.select(F.col("a").alias("query"), F.col("b").alias("node"), F.col("sim").alias("cosine"))
 
-    best = cut(scored(q.join(F.broadcast(start))).withColumn("done", F.lit(False)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= beam).drop("rn"), "walk-start")
-    for _ in range(steps):
+    near = _entries(queries, nodes, beam // 2, seed).unionByName(q.select("query").join(F.broadcast(start.select("node")))).distinct()
+    best = cut(scored(near.join(n, "node").join(q, "query")).withColumn("done", F.lit(False)).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= beam).drop("rn"), "walk-start")
+    while not best.filter("not done").isEmpty():
         new = best.filter("not done").join(steps_from, F.col("node") == F.col("a")).select("query", F.col("b").alias("node")).distinct()
         new = new.join(best.select("query", "node"), ["query", "node"], "left_anti")
         found = scored(new.join(n, "node").join(q, "query")).withColumn("done", F.lit(False))
         best = cut(best.withColumn("done", F.lit(True)).unionByName(found).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= beam).drop("rn"), "walk-step")
-        if best.filter("not done").isEmpty():
-            break
     return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("query", "node", "cosine")
+
+
+def rows_of(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(query, node, cosine): the ``k`` best rows among all rows of the nodes found, the query itself left out.
+
+    ``found`` is (query, node, cosine) with a query's ``k`` + 1 best nodes,
+    ``members`` (key, rep) of every row. Equal cosines rank by the smaller key.
+    """
+    w = Window.partitionBy("rep").orderBy("key")
+    firsts = members.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1).select(F.col("rep").alias("node"), "key")
+    w2 = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "key")
+    rows = found.join(firsts, "node").filter("key <> query").withColumn("rn", F.row_number().over(w2)).filter(F.col("rn") <= k)
+    return rows.select("query", F.col("key").alias("node"), "cosine")

@@ -50,13 +50,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose pos is divisible by 100 as a query against all, by greedy walks on the graph."""
+    """The five most similar others of every vector whose pos is divisible by 100, by greedy walks on the graph."""
     units = cut(neighbours.unit_vectors(table(spark, sf_dir, "vector_index"), "pos", "embedding", WIDTH), "search-units")
-    nodes, _ = neighbours.distinct_vectors(units)
-    nodes = cut(nodes, "search-nodes")
+    nodes, members = neighbours.distinct_vectors(units)
+    nodes, members = cut(nodes, "search-nodes"), cut(members, "search-members")
     graph = neighbours.knn_graph(nodes, WIDTH)
     asked = units.filter("key % 100 = 0").select(F.col("key").alias("query"), "unit")
-    return neighbours.greedy_search(asked, nodes, graph, k=6).filter("query <> node")
+    return neighbours.rows_of(neighbours.greedy_search(asked, nodes, graph, k=6), members, 5)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

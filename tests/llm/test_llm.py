@@ -136,6 +136,24 @@ def test_neighbours_go_on_until_lists_stay(spark, monkeypatch):
     assert len(shares) > 4 and shares[-1] <= 0.001 < min(shares[:-1])
 
 
+def test_search_reaches_clusters_and_repeats(spark):
+    # 200 clusters without links between them, each vector twice
+    r = np.random.default_rng(5)
+    one = np.repeat(r.normal(size=(200, 24)), 13, 0) + 0.2 * r.normal(size=(2600, 24))
+    m = np.concatenate([one, one])
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "key bigint, unit array<double>").repartition(3)
+    nodes, members = neighbours.distinct_vectors(units)
+    near = brute(m, 5)
+    asked = units.filter("key % 20 = 0").select(F.col("key").alias("query"), "unit")
+    edges = [(a, b, float(-abs(a - b))) for a in range(2600) for b in range(a // 13 * 13, a // 13 * 13 + 13) if a != b]
+    graph = spark.createDataFrame(edges, "a bigint, b bigint, sim float")
+    got = {}
+    for x in neighbours.rows_of(neighbours.greedy_search(asked, nodes, graph, 6), members, 5).collect():
+        got.setdefault(x.query, []).append(x.node)
+    assert set(got) == set(range(0, 5200, 20)) and all(len(v) == 5 and (q + 2600) % 5200 in v for q, v in got.items())
+    assert sum(len(set(got[q]) & set(near[q])) for q in got) >= 0.9 * 5 * len(got)
+
+
 def test_projections_grow():
     sizes = [neighbours._projections(n) for n in (1, 5_000, 50_000, 500_000)]
     assert sizes[0] == (4, 6) and sizes == sorted(sizes) and len({t for t, _ in sizes[1:]}) == len({b for _, b in sizes[1:]}) == 3
