@@ -94,10 +94,13 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/termloom", "zip", root, "termloom"))
 
 
-#: Rows up to which a written table may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of values up to which a written table may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def small_side(written: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table for the right side of a join: broadcast if it holds at most ``limit`` rows, else left to the planner."""
-    return F.broadcast(written) if written.count() <= limit else written
+def small_side(written: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table for the right side of a join: broadcast if its values take at most ``limit`` bytes, else left to the planner."""
+    wide = {"string", "binary"}
+    cells = [F.coalesce(F.octet_length(c) if t in wide else F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c, t in written.dtypes]
+    size = written.agg(F.sum(sum(cells, F.lit(0)))).first()[0] or 0
+    return F.broadcast(written) if size <= limit else written
