@@ -2,15 +2,17 @@
 
 Cut texts. Length histograms (characters and bytes) per source and column
 show where a source cuts: a length at which texts without terminal
-punctuation pile up beyond the lengths around it. A text at such a length
-without terminal punctuation is cut unless it ends as complete texts do
-(likelihood of its last n-gram at the end of a text). Cuts of a transfer
-leave no spike; they show in the pair: the source closes its last sentence,
-the translation doesn't.
+punctuation pile up beyond the lengths around it. Transfers that break
+anywhere leave no spike, so an unclosed text is judged by three kinds of
+evidence: whether it sits at a spike, how likely its last letters are at the
+end of whole texts against at a break anywhere (n-grams with back-off), and
+its length against its prompt's. Their weights and how often each source cuts
+come from EM over all unclosed texts. The prompt enters as a fourth kind, and
+an unclosed prompt excuses its response.
 
 Broken pairs. Empty and stand-in answers, refusals, copies, cut answers and
 answers in another language are told apart in this order, so each pair has
-one defect. The language test compares posteriors of prompt and response
+one defect. The language test compares the posteriors of prompt and response
 from a character n-gram naive Bayes model.
 """
 
@@ -51,9 +53,16 @@ def spikes(texts: DataFrame, source: str, text: str, least: int = 8, factor: flo
     in bytes cuts up to three bytes early, so byte lengths count as a sum
     over the four lengths up to the limit.
     """
+    t = F.col(text)
+    return _spikes(texts.select(F.col(source).alias("src"), closed(t).alias("shut"), F.length(t).alias("n_chars"), F.octet_length(t).alias("n_bytes")), least, factor, reach)
+
+
+def _spikes(measured: DataFrame, least: int = 8, factor: float = 4.0, reach: int = 12) -> DataFrame:
+    # Rows count together before the two kinds of length part.
+    both = measured.groupBy("src", "n_chars", "n_bytes").agg(F.sum((~F.col("shut")).cast("int")).alias("open"), F.count(F.lit(1)).alias("all"))
     hist = (
-        texts.select(F.col(source).alias("src"), (~closed(F.col(text))).cast("int").alias("open"), F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.length(text).alias("len")), F.struct(F.lit("bytes").alias("kind"), F.octet_length(text).alias("len")))).alias("x"))
-        .groupBy("src", "x.kind", "x.len").agg(F.sum("open").alias("open"), F.count(F.lit(1)).alias("all"))
+        both.select("src", "open", "all", F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("n_chars").alias("len")), F.struct(F.lit("bytes").alias("kind"), F.col("n_bytes").alias("len")))).alias("x"))
+        .groupBy("src", "x.kind", "x.len").agg(F.sum("open").alias("open"), F.sum("all").alias("all"))
     )
     w = Window.partitionBy("src", "kind").orderBy("len")
     near, up = w.rangeBetween(-reach, reach), w.rangeBetween(-3, 0)
@@ -69,32 +78,138 @@ def spikes(texts: DataFrame, source: str, text: str, least: int = 8, factor: flo
     return top.select("src", "kind", F.explode(lens).alias("len")).distinct()
 
 
-def suffix(text: Column) -> Column:
-    """The last letters of a text, closing marks aside: the n-gram whose end-of-text likelihood counts."""
-    v = F.regexp_replace(F.substring(text, -24, 24), rf"[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
-    return F.substring(v, -4, 4)
+#: Slots of the tables of end-of-text n-grams: their documented size bound.
+GRAM_SLOTS = 1 << 17
+#: Whole texts that a shorter n-gram's likelihood ratio weighs against those of a longer one.
+_BACK_OFF = 4.0
 
 
-def cut_off(pairs: DataFrame, natural: int = 3) -> DataFrame:
-    """Keys of cut responses among ``pairs`` (key, src, prompt, response).
+def _slot(text: Column, n: int) -> Column:
+    """Slot of a text's last ``n`` letters, closing marks aside."""
+    v = F.regexp_replace(F.substring(text, -24, 24), rf"[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
+    return F.pmod(F.xxhash64(F.substring(v, -n, n)), F.lit(GRAM_SLOTS)).cast("int") + (0 if n == 4 else GRAM_SLOTS)
 
-    Blank responses are not cut. Null prompts count as prompts without a
-    closing mark; a null ``src`` is a source of its own.
-    """
-    p = pairs.filter("response is not null").withColumn("src", F.coalesce("src", F.lit(""))).filter(F.regexp_replace("response", r"[^\p{L}\p{N}]+", "") != "")
-    p = p.select("key", "src", "prompt", "response", F.length("response").alias("n_chars"), F.octet_length("response").alias("n_bytes"), closed(F.col("response")).alias("shut"), F.coalesce(closed(F.col("prompt")), F.lit(False)).alias("p_shut"))
-    at = spikes(p, "src", "response")
+
+def _measured() -> dict[str, Column]:
+    """What the evidence of a cut is made of, in numbers: no later step reads the texts."""
+    r, q = F.col("response"), F.col("prompt")
     # A number broken at its point: "39." where the prompt has 39.8, or a point in scripts that close with another mark.
-    end = F.substring("response", -24, 24)
+    end = F.substring(r, -24, 24)
     tail = F.regexp_extract(end, r"(\d+)[.,]?\z", 1)
-    broken = end.rlike(r"\d\.\z") & (F.col("prompt").rlike(r"\d[.,]\d") & F.coalesce(F.instr(F.col("prompt"), F.concat(tail, F.lit("."))) + F.instr(F.col("prompt"), F.concat(tail, F.lit(","))) > 0, F.lit(False)) | F.col("response").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][^.]*\d\.\z"))
-    p = p.withColumn("shut", F.col("shut") & ~broken)
-    by_pair = p.filter("not shut and p_shut").select("key")
+    broken = end.rlike(r"\d\.\z") & (q.rlike(r"\d[.,]\d") & F.coalesce(F.instr(q, F.concat(tail, F.lit("."))) + F.instr(q, F.concat(tail, F.lit(","))) > 0, F.lit(False)) | r.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}][^.]*\d\.\z"))
+    n = F.length(r)
+    # Where a break at random would have left the text.
+    at = F.pmod(F.xxhash64("key", F.lit("cut")), F.greatest(n - 1, F.lit(1))).cast("int") + 1
+    middle = F.substr(r, F.greatest(at - 23, F.lit(1)), F.least(at, F.lit(24)))
+    return {
+        "n_chars": n, "n_bytes": F.octet_length(r), "p_chars": F.length(q), "shut": closed(r) & ~F.coalesce(broken, F.lit(False)),
+        "p_shut": F.when(q.isNotNull(), closed(q)), "e4": _slot(r, 4), "e2": _slot(r, 2), "m4": _slot(middle, 4), "m2": _slot(middle, 2),
+    }
+
+
+# Cells of the evidence: prompt (0 unknown, 1 open, 2 closed), spike, end of text, length against the prompt's.
+_ENDS, _RATIOS = 7, 9
+
+
+def evidence(m: DataFrame) -> DataFrame:
+    """(key, src, p, s, e, r) of every unclosed response of a written table of measures.
+
+    ``s`` is 1 at a spike of its source. ``e`` is the likelihood ratio of the
+    last letters (in nats, from 0 to 6, 3 is even): how texts broken anywhere
+    end, against how whole texts end. ``r`` is the logarithm of the length
+    against the prompt's, in deviations of its pair of languages (0 to 8).
+    """
+    whole = m.filter("shut")
+    grams = whole.select(F.explode(F.array(*[F.struct(F.col(c).alias("slot"), F.lit(int(c[0] == "m")).alias("mid")) for c in ("e4", "e2", "m4", "m2")])).alias("g"))
+    # At most GRAM_SLOTS rows of each length, whatever the table holds.
+    table = cut(grams.groupBy("g.slot").agg(F.sum("g.mid").alias("mid"), F.sum(1 - F.col("g.mid")).alias("end")), "pairs-grams")
+    c4, c2 = (F.broadcast(table.filter(mine).select(F.col("slot").alias(f"e{n}"), F.col("mid").alias(f"mid{n}"), F.col("end").alias(f"end{n}"))) for n, mine in ((4, F.col("slot") < GRAM_SLOTS), (2, F.col("slot") >= GRAM_SLOTS)))
+    ratio = F.log(F.col("n_chars") / F.col("p_chars"))
+    langs = [F.coalesce(x, F.lit("")).alias(x) for x in ("prompt_lang", "lang")]
+    usual = whole.filter("p_shut and p_chars > 0").select(*langs, ratio.alias("x")).groupBy("prompt_lang", "lang").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    at = _spikes(m)
     lens = at.groupBy("src").agg(F.collect_set(F.when(F.col("kind") == "chars", F.col("len"))).alias("c"), F.collect_set(F.when(F.col("kind") == "bytes", F.col("len"))).alias("b"))
-    spiked = p.filter("not shut and not p_shut").join(lens, "src").filter(F.array_contains("c", F.col("n_chars")) | F.array_contains("b", F.col("n_bytes"))).select("key", suffix(F.col("response")).alias("suffix"))
-    ends = p.filter("shut").groupBy(suffix(F.col("response")).alias("suffix")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= natural).select("suffix")
-    by_spike = spiked.join(ends, "suffix", "left_anti").select("key")
-    return by_pair.unionByName(by_spike).distinct()
+    left = m.filter("not shut").select("key", "src", "n_chars", "n_bytes", "p_chars", "p_shut", "e4", "e2", *langs)
+    left = left.join(c4, "e4", "left").join(c2, "e2", "left").join(usual, ["prompt_lang", "lang"], "left").join(lens, "src", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    two = (n("mid2") + _BACK_OFF) / (n("end2") + _BACK_OFF)
+    llr = F.log((n("mid4") + _BACK_OFF * two) / (n("end4") + _BACK_OFF))
+    z = F.coalesce((ratio - F.col("mean")) / F.greatest(F.col("sd"), F.lit(0.05)), F.lit(0.0))
+    return left.select(
+        "key", "src", F.when(F.col("p_shut").isNull(), 0).when(F.col("p_shut"), 2).otherwise(1).alias("p"),
+        F.coalesce(F.array_contains("c", F.col("n_chars")) | F.array_contains("b", F.col("n_bytes")), F.lit(False)).cast("int").alias("s"),
+        F.greatest(F.lit(0), F.least(F.lit(_ENDS - 1), F.round(llr) + _ENDS // 2)).cast("int").alias("e"),
+        F.greatest(F.lit(0), F.least(F.lit(_RATIOS - 1), F.round(z) + _RATIOS // 2)).cast("int").alias("r"),
+    )
+
+
+#: What is taken for granted before any data, in rows: cut texts sit at spikes, end anywhere, are short, and their prompts are closed.
+_BEFORE = {
+    "p": ([5.0, 0.5, 4.5], [5.0, 4.7, 0.3]), "s": ([5.0, 5.0], [9.9, 0.1]),
+    "e": (np.exp(0.5 * (np.arange(_ENDS) - _ENDS // 2)), np.exp(-0.5 * (np.arange(_ENDS) - _ENDS // 2))),
+    "r": (np.where(np.arange(_RATIOS) < _RATIOS // 2, 1.8, 0.3), np.where(np.abs(np.arange(_RATIOS) - _RATIOS // 2) < 2, 2.5, 0.4)),
+}
+
+
+def fit_cut(cells: list[tuple[int, int, int, int, int]], use: str = "pser", most: int = 200) -> tuple[float, dict[str, np.ndarray]]:
+    """Prior and log-likelihood ratios (cut against whole) of each kind of evidence, by EM until nothing moves.
+
+    ``cells`` are (p, s, e, r, n): a table of at most 3 x 2 x 7 x 9 counts.
+    ``use`` names the kinds of evidence that count.
+    """
+    x = np.array([c[:4] for c in cells], int).reshape(-1, 4)
+    n = np.array([c[4] for c in cells], float)
+    names = "pser"
+    before = {k: [np.asarray(v, float) / np.sum(v) * 10 for v in _BEFORE[k]] for k in names}
+    llr = {k: np.log(before[k][0] / before[k][1]) if k in use else np.zeros(len(before[k][0])) for k in names}
+    prior, last = 0.5, None
+    for _ in range(most):
+        odds = np.log(prior / (1 - prior)) + sum(llr[k][x[:, i]] for i, k in enumerate(names))
+        post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        prior = float((post @ n + 1) / (n.sum() + 2))
+        for i, k in enumerate(names):
+            if k in use:
+                a, b = (np.bincount(x[:, i], w * n, len(before[k][0])) + before[k][j] for j, w in enumerate((post, 1 - post)))
+                llr[k] = np.log(a / a.sum()) - np.log(b / b.sum())
+        if last is not None and np.abs(post - last).max(initial=0) < 1e-6:
+            break
+        last = post
+    return prior, llr
+
+
+def judged(m: DataFrame, use: str = "pser", alpha: float = 50.0) -> DataFrame:
+    """(key, p, s, e, r, posterior) of every unclosed response: how probably it is cut.
+
+    Kinds of evidence are weighed by what all sources show; how often a
+    source cuts leans on all sources with the weight of ``alpha`` rows.
+    """
+    seen = cut(evidence(m), "pairs-evidence")
+    counts = seen.groupBy("p", "s", "e", "r").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 378 rows
+    prior, llr = fit_cut([tuple(c) for c in counts], use)
+    odds = sum((F.element_at(F.array(*[F.lit(float(v)) for v in llr[k]]), F.col(k) + 1) for k in "pser"), F.lit(0.0))
+    post = lambda base: 1 / (1 + F.exp(-(F.log(base / (1 - base)) + F.col("odds"))))
+    scored = seen.withColumn("odds", odds)
+    rates = scored.groupBy("src").agg(((F.sum(post(F.lit(prior))) + alpha * prior) / (F.count(F.lit(1)) + alpha)).alias("rate"))
+    return scored.join(rates, "src").select("key", "p", "s", "e", "r", post(F.col("rate")).alias("posterior"))
+
+
+def _cut_keys(m: DataFrame) -> DataFrame:
+    # A prompt that is itself open excuses its response, whatever the evidence.
+    return judged(m).filter("posterior > 0.5 and p <> 1").select("key")
+
+
+def cut_off(pairs: DataFrame) -> DataFrame:
+    """Keys of cut responses among ``pairs`` (key, src, prompt, response[, prompt_lang, lang]).
+
+    A cut response is unclosed and more probably cut than whole by its
+    length (spikes, and against its prompt) and its last letters; a prompt
+    that isn't closed either excuses it. Blank and null responses are not
+    cut. With a null prompt the response alone decides; a null ``src`` is a
+    source of its own, null languages are one of their own.
+    """
+    p = pairs.filter("response is not null").filter(F.regexp_replace("response", r"[^\p{L}\p{N}]+", "") != "")
+    langs = [F.col(x) if x in pairs.columns else F.lit(None).cast("string").alias(x) for x in ("prompt_lang", "lang")]
+    return _cut_keys(cut(p.select("key", F.coalesce("src", F.lit("")).alias("src"), *langs, *[c.alias(k) for k, c in _measured().items()]), "pairs-measured"))
 
 
 # Stand-ins for an empty value, lower case.
@@ -160,26 +275,58 @@ def _repeatable(text: Column) -> Column:
     return ~bare.rlike(r"\p{L}") | bare.rlike(r"\A[^\p{L}]*\p{Lu}[\p{Lu}\p{N}]{0,4}[^\p{L}]*\z") | bare.rlike(r"\A[^\p{L}]*\p{Lu}[\p{Lu}\p{N}]{0,3}(?:\s*[^\p{L}\s]+\s*\p{Lu}[\p{Lu}\p{N}]{0,3})+[^\p{L}]*\z")
 
 
-_LANG_OUT = "key bigint, best string, margin double, prompt string"
-_LANG_ARROW = pa.schema([("key", pa.int64()), ("best", pa.string()), ("margin", pa.float64()), ("prompt", pa.string())])
+_LANG_OUT = "key bigint, best string, posterior double, prompt string"
+_LANG_ARROW = pa.schema([("key", pa.int64()), ("best", pa.string()), ("posterior", pa.float64()), ("prompt", pa.string())])
+#: Bigrams and trigrams tell of the same letters, so their sum counts half.
+_TEMPER = 0.5
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
 
-def _judge(model_b, least: float):
-    """Responses (key, lang, prompt, response) that another language fits better by ``least``."""
+def language_posteriors(prompts: np.ndarray, responses: np.ndarray, src: np.ndarray, dst: np.ndarray, strays: float = 0.01, labelled: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of prompt and response languages from their log-likelihoods (rows x languages).
+
+    ``src`` and ``dst`` number the labelled languages, -1 where unknown. A
+    prompt is in its labelled language with a prior of ``labelled``. A
+    response is in ``dst`` unless it strays (prior ``strays``): then it stays
+    in the prompt's language, weighed by the prompt's posterior, as often as
+    it falls into any other.
+    """
+    n, k = responses.shape
+    row = np.arange(n)
+    prior = np.full((n, k), (1 - labelled) / max(k - 1, 1))
+    prior[row[src >= 0], src[src >= 0]] = labelled
+    prior[src < 0] = 1 / k
+    asked = _softmax(_TEMPER * prompts + np.log(prior))
+    away = 0.5 * asked + 0.5 / k
+    away[row, dst] = 0
+    away *= strays / away.sum(1, keepdims=True) if k > 1 else 0
+    away[row, dst] = 1 - strays
+    with np.errstate(divide="ignore"):
+        return asked, _softmax(_TEMPER * responses + np.log(away))
+
+
+def _judge(model_b):
+    """Responses (key, prompt_lang, lang, prompt, response) that are more probably in a language other than ``lang``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nb: langid.NaiveBayes = model_b.value
         at = {x: i for i, x in enumerate(nb.langs)}
         for b in batches:
-            keys, langs, prompts, responses = (c.to_pylist() for c in b.columns)
-            s = nb.score(responses)
-            mine = np.array([at.get(x, -1) for x in langs])
-            best = np.argmax(s, 1) if len(s) else np.zeros(0, int)
-            margin = s.max(1) - s[np.arange(len(s)), np.maximum(mine, 0)] if len(s) else np.zeros(0)
-            hit = np.flatnonzero((mine >= 0) & (best != mine) & (margin > least)).tolist()
-            if hit:
-                p = np.argmax(nb.score([prompts[i] or "" for i in hit]), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.int64()), pa.array([nb.langs[best[i]] for i in hit]), pa.array([float(margin[i]) for i in hit]), pa.array([nb.langs[j] for j in p])], schema=_LANG_ARROW)
+            keys, srcs, langs, prompts, responses = (c.to_pylist() for c in b.columns)
+            # Without a known target no language is wrong.
+            rows = [i for i, x in enumerate(langs) if x in at]
+            if not rows:
+                continue
+            dst = np.array([at[langs[i]] for i in rows])
+            asked, got = language_posteriors(nb.score([prompts[i] or "" for i in rows]), nb.score([responses[i] for i in rows]), np.array([at.get(srcs[i], -1) for i in rows]), dst)
+            wrong = 1 - got[np.arange(len(rows)), dst]
+            hit = np.flatnonzero(wrong > 0.5)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array([keys[rows[i]] for i in hit], pa.int64()), pa.array([nb.langs[j] for j in np.argmax(got[hit], 1)]), pa.array(wrong[hit]), pa.array([nb.langs[j] for j in np.argmax(asked[hit], 1)])], schema=_LANG_ARROW)
 
     return run
 
@@ -195,8 +342,11 @@ def fit_languages(labelled: DataFrame, per_language: int = langid.SAMPLE_PER_LAN
     return langid.NaiveBayes(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
 
 
-def _staged(pairs: DataFrame) -> DataFrame:
-    """Pairs with a letter in the prompt and the defect that the pair itself shows, if any."""
+def _staged(pairs: DataFrame, texts: bool) -> DataFrame:
+    """Pairs with a letter in the prompt: the defect that the pair itself shows, if any, and the measures of a cut.
+
+    The texts themselves are kept only where ``texts`` asks for them.
+    """
     p = pairs.filter(F.col("prompt").rlike(r"\p{L}")).withColumn("response", F.coalesce("response", F.lit(""))).withColumn("low", F.lower("response"))
     r, q = F.col("response"), F.col("prompt")
     empty = ~r.rlike(r"[\p{L}\p{N}]") | r.rlike(_STAND) | r.rlike(_JSON_EMPTY)
@@ -204,15 +354,16 @@ def _staged(pairs: DataFrame) -> DataFrame:
     # Copies agree in their first letter, which rules most pairs out before whole texts are compared.
     copy = (lead(r) == lead(q)) & (canonical(r) == canonical(q))
     first = F.when(empty, "empty").when(_refusal(r, F.col("low")) & ~_declines(q), "refusal").when(copy, F.when(_repeatable(q), "fine").otherwise("copy"))
-    return cut(p.withColumn("kind", first).select("key", "src", "prompt", "response", "lang", "prompt_lang", "kind"), "pairs-staged")
+    kept = ["prompt", "response"] if texts else []
+    return cut(p.select("key", F.coalesce("src", F.lit("")).alias("src"), *kept, "lang", "prompt_lang", first.alias("kind"), *[c.alias(k) for k, c in _measured().items()]), "pairs-staged")
 
 
 def truncated(pairs: DataFrame) -> DataFrame:
     """Keys of responses that stop early, among pairs whose response is an answer at all."""
-    return cut_off(_staged(pairs).filter("kind is null").select("key", "src", "prompt", "response"))
+    return _cut_keys(_staged(pairs, False).filter("kind is null"))
 
 
-def defects(pairs: DataFrame, margin: float = 6.0) -> DataFrame:
+def defects(pairs: DataFrame) -> DataFrame:
     """(key, defect) of every defective pair.
 
     ``pairs`` holds (key, src, prompt, response, prompt_lang, lang): ``src``
@@ -220,16 +371,16 @@ def defects(pairs: DataFrame, margin: float = 6.0) -> DataFrame:
     (null: any). A prompt without letters is no case, null or not; a null
     response counts as empty; repeated rows with one key give one row.
     """
-    staged = _staged(pairs)
+    staged = _staged(pairs, True)
     rest = staged.filter("kind is null")
     # Spikes and endings come from all texts that are answers at all.
-    short = cut(cut_off(rest.select("key", "src", "prompt", "response")), "pairs-short")
+    short = cut(_cut_keys(rest), "pairs-short")
     model = fit_languages(_labelled(rest))
     out = staged.filter("kind is not null and kind <> 'fine'").select("key", F.col("kind").alias("defect")).unionByName(short.select("key", F.lit("truncated").alias("defect")))
     if model is not None:
         model_b = pairs.sparkSession.sparkContext.broadcast(model)
         bare = F.trim(F.regexp_replace("response", _MARKUP, " "))
-        other = rest.select("key", "lang", "prompt", bare.alias("t")).filter(F.col("t").rlike(r"\p{L}")).mapInArrow(_judge(model_b, margin), _LANG_OUT)
+        other = rest.select("key", "prompt_lang", "lang", "prompt", bare.alias("t")).filter(F.col("t").rlike(r"\p{L}")).mapInArrow(_judge(model_b), _LANG_OUT)
         out = out.unionByName(other.join(short, "key", "left_anti").select("key", F.lit("wrong_language").alias("defect")))
     return out.distinct()
 

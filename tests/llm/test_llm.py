@@ -248,6 +248,56 @@ def test_spikes_find_cut_lengths(spark):
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def _cut_pairs():
+    """Providers that cut at 80 characters, anywhere, and never; prompts with a closing mark; names without one."""
+    random.seed(16)
+    syllables = ["to", "mal", "keni", "dra", "vo", "linn", "gar", "e"]
+    sentence = lambda: " ".join("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(random.randint(8, 30))) + "end."
+    rows, want = [], {}
+    for i in range(1800):
+        prompt, whole = sentence(), ""
+        while abs(len(whole) - len(prompt)) > 6:
+            whole = sentence()
+        t, src = whole, ("spike", "any", "clean")[i % 3]
+        if src == "spike" and len(t) > 80:
+            t = t[:80]
+        elif src == "any" and i % 2:
+            t = t[: random.randint(len(t) // 3, len(t) * 2 // 3)]
+        rows.append((i, src, prompt, t, "x", "y"))
+        if t != whole:
+            want[i] = src
+    rows += [(5000 + i, ("spike", "any", "clean")[i % 3], "Torvos Ken", " ".join("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(random.randint(1, 3))), "x", "y") for i in range(600)]
+    return rows, want
+
+
+def test_cut_needs_its_evidence(spark):
+    rows, want = _cut_pairs()
+    df = spark.createDataFrame(rows, PAIR)
+    assert {r.key for r in pairs.cut_off(df).collect()} == set(want)
+    # Without prompts the text alone decides: spikes find what is cut at a length, ends and lengths the rest.
+    alone = pairs._measured() | {"p_shut": F.lit(None).cast("boolean")}
+    m = pairs.cut(df.select("key", "src", "prompt_lang", "lang", *[c.alias(k) for k, c in alone.items()]), "test")
+    flagged = {}
+    for use in ("ser", "s", "er"):
+        got = {r.key for r in pairs.judged(m, use).filter("posterior > 0.5").collect()}
+        flagged[use] = {src: sum(want.get(k) == src for k in got) / sum(x == src for x in want.values()) for src in ("spike", "any")} | {"wrong": len(got - set(want))}
+    assert flagged["s"]["spike"] == 1 and flagged["s"]["any"] == 0
+    # Spikes keep names apart from cut texts, which look alike by their ends.
+    assert flagged["ser"]["spike"] == 1 and flagged["ser"]["wrong"] < 0.2 * flagged["er"]["wrong"]
+
+
+def test_prompt_settles_the_language():
+    # The response speaks a little more for language 1 than for its target 0; only the prompt tells a stray from chance.
+    response = np.array([[-20.0, -12.0, -40.0]] * 2)
+    prompt = np.array([[-60.0, -10.0, -60.0], [-60.0, -60.0, -10.0]])
+    asked, got = pairs.language_posteriors(prompt, response, np.array([-1, -1]), np.array([0, 0]), strays=0.02)
+    assert asked.argmax(1).tolist() == [1, 2]
+    assert 1 - got[0, 0] > 0.34 and 1 - got[0, 0] > 2 * (1 - got[1, 0])
+    # A prompt that is in the target language already says nothing against the response.
+    _, same = pairs.language_posteriors(np.array([[-10.0, -60.0, -60.0]]), response[:1], np.array([0]), np.array([0]))
+    assert same[0].argmax() == 0
+
+
 def test_pairs_empty(spark):
     e = spark.createDataFrame([], PAIR)
     assert pairs.defects(e).count() == 0 and pairs.truncated(e).count() == 0
