@@ -125,14 +125,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_forms(spark, sf_dir).join(bad, ["tbl", "key"], "left_anti").select("tbl", "key")
 
 
-def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p8_passages(spark: SparkSession, sf_dir: str, slack: int = 3) -> DataFrame:
     """Every passage of an evaluation item in a document, exact or in close order."""
-    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", "lang")
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", "lang", slack=slack)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the items of which they hold a passage."""
-    return p8_passages(spark, sf_dir).filter("kind = 'phrase'").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    """Documents with the items of which they hold an exact passage."""
+    return p8_passages(spark, sf_dir, slack=0).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -323,10 +323,10 @@ def test_forms(spark):
 # -- 8 ------------------------------------------------------------------------
 
 
-def test_leaks_like_brute_force(spark):
+def test_leaks_like_brute_force(spark, monkeypatch):
     random.seed(8)
     vocab = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(random.choices(vocab, k=30)), "en") for i in range(12)] + [(50, "".join(random.choices("甲乙丙丁戊己庚辛", k=60)), "zh"), (51, "short one", "en"), (52, None, "en"), (53, "", None)]
+    items = [(i, " ".join(random.choices(vocab, k=30)), "en") for i in range(12)] + [(50, "".join(random.choices("甲乙丙丁戊己庚辛", k=60)), "zh"), (51, "short one", "en"), (52, None, "en"), (53, "", None), (54, "甲乙 AlphaBetaGammaDeltaEpsilonZeta 丙", "zh")]
     docs = []
     for i in range(150):
         t = " ".join(random.choices(vocab, k=40))
@@ -337,7 +337,7 @@ def test_leaks_like_brute_force(spark):
         if i % 10 == 0:
             t += items[12][1][5 : 5 + random.choice([19, 20, 30])]
         docs.append((i, t))
-    docs += [(900, None), (901, ""), (902, " ".join(items[0][1].split()[:12])), (903, "x " * 20000)]
+    docs += [(900, None), (901, ""), (902, " ".join(items[0][1].split()[:12])), (903, "x " * 20000), (904, "see AlphaBetaGammaDeltaEpsilonZeta here"), (904, "another text"), (905, "甲alphabetagammadeltaeps")]
     ddf = spark.createDataFrame(docs, "d bigint, t string").withColumn("terms", F.lit(1))
     idf = spark.createDataFrame(items, "i bigint, t string, l string")
     got = {(r.doc, r.item) for r in leaks.leaked(ddf, idf, "d", "t", "i", "t", "l").filter("kind = 'phrase'").collect()}
@@ -353,11 +353,32 @@ def test_leaks_like_brute_force(spark):
             grams = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}
             if any(tuple(a[j : j + n]) in grams for j in range(len(a) - n + 1)):
                 want.add((d, i))
-    assert got == want and want
+    assert got == want and want and (904, 54) in want
+    # Items that don't fit at once take several passes, small shards change nothing either.
+    monkeypatch.setattr(leaks, "SHARD_POSTINGS", 50)
+    again = {(r.doc, r.item) for r in leaks.leaked(ddf, idf, "d", "t", "i", "t", "l", slack=0, item_chars=400).collect()}
+    assert again == want
     assert leaks.leaked(ddf.limit(0), idf, "d", "t", "i", "t", "l").count() == 0
     assert leaks.leaked(ddf, idf.limit(0), "d", "t", "i", "t", "l").count() == 0
 
 
+def test_anchors_are_rare_and_lists_are_needed():
+    its = leaks.load_items([(1, "a b c d e f", "en")], 3, 20, ("zh",))
+    leaks.choose_anchors(its, {t: n for t, n in zip(its.terms[1], [9, 1, 9, 9, 2, 9])})
+    assert sorted(j for x in its.anchors.values() for _, j in x) == [1, 4]
+    # A term that no document holds rules its stretches out.
+    leaks.choose_anchors(its, {t: n for t, n in zip(its.terms[1], [9, 1, 9, 0, 2, 9])})
+    assert sorted(j for x in its.anchors.values() for _, j in x) == [1]
+
+
+def test_every_near_passage(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    near = lambda a: " ".join(f"w{i}" + (" oh" if i == a + 6 else "") for i in range(a, a + 14))
+    docs = spark.createDataFrame([(1, f"{near(0)} gap gap gap gap {near(20)} gap gap gap gap {' '.join(f'w{i}' for i in range(0, 13))}")], "d bigint, t string")
+    got = leaks.leaked(docs, spark.createDataFrame([(1, item, "en")], "i bigint, t string, l string"), "d", "t", "i", "t", "l").collect()
+    assert sorted((r.kind, r.item_term) for r in got) == [("phrase", 0), ("proximity", 0), ("proximity", 20)]
+
+
 def test_proximity(spark):
     item = "a b c d e f g h i j k l m n"
     docs = spark.createDataFrame([(1, "x a b c d e oh f g h i j k l m n"), (2, "a c e g i k m")], "d bigint, t string")
