@@ -1,35 +1,37 @@
 """Problem 4: records that differ only in layout, collapsed and counted.
 
 Each record becomes canonical bytes: the letters and digits of its id and of
-its text, lower-cased. Bytes beyond ``KEY_BYTES`` fold into a digest, so a
-key has a bounded size whatever the text. Keys are partitioned by radix: a
-bucket is the set of keys with one prefix; a bucket over ``bucket_rows`` is
-split by the bytes that follow, again and again, until each fits or its keys
-are used up (then all its records are copies of one). Every task counts the
-keys of its buckets in a trie whose terminals hold a counter and the smallest
-record key.
+its text, lower-cased, whole. Keys are partitioned by radix: a bucket is the
+set of keys with one prefix; a bucket over ``bucket_bytes`` is split by the
+bytes that follow what all its keys share, again and again, until each fits
+or holds a single key. Every task counts the keys of its buckets in a trie
+whose terminals hold a counter and the smallest record key.
 
 Before any shuffle, each scan task folds its own rows with the same trie, so
 a group that holds a third of all records reaches its bucket as one row per
-task.
+task. Only there do canonical bytes travel; members are told by numbers: a
+record points to the smallest of its task, and that to the smallest of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import cut
+from termloom.session import cut, small_side
 
-#: Canonical bytes kept as they are; longer keys end in the digest of the whole.
-KEY_BYTES = 48
-#: Bytes by which an oversized bucket is split further.
-RADIX_STEP = 4
+#: Bytes of keys up to which a bucket's trie is built at once: it stays within a core's cache.
+BUCKET_BYTES = 1 << 20
+#: Bytes by which an oversized bucket is split, beyond what its keys share.
+RADIX_STEP = 2
 #: Bytes of one trie edge.
 EDGE = 8
+#: Rows, and bytes of keys, that a scan task folds at once.
+FOLD_ROWS, FOLD_BYTES = 300_000, 64 << 20
 
 
 def canonical(col: Column) -> Column:
@@ -37,15 +39,16 @@ def canonical(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", "")
 
 
-def canonical_key(parts: list[Column]) -> Column:
-    """Bounded canonical bytes of several texts; null when a part is null or has no letter or digit."""
-    can = [canonical(p) for p in parts]
-    whole = F.encode(F.concat_ws("\x1f", *can), "UTF-8")
-    key = F.when(F.octet_length(whole) <= KEY_BYTES, whole).otherwise(F.concat(F.substring(whole, 1, KEY_BYTES), F.lit(b"\x1e"), F.unhex(F.md5(whole))))
-    fit = F.lit(True)
-    for c in can:
-        fit = fit & (F.length(c) > 0)
-    return F.when(fit, key)
+_ODD = re.compile(r"[\W_]+")
+_ASCII_LOW = bytes(range(256)).lower()
+_ASCII_OFF = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def canonical_bytes(text: str) -> bytes:
+    """The same as bytes."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_LOW, _ASCII_OFF)
+    return _ODD.sub("", text.lower()).encode("utf-8", "surrogatepass")
 
 
 class Trie:
@@ -59,149 +62,172 @@ class Trie:
         self.root: dict = {}
         self.size = 0
 
-    def add(self, key: bytes, n: int, least: int) -> None:
+    def add(self, key: bytes, n: int, least: int) -> list:
+        """Count a key and give its terminal."""
         node, at = self.root, 0
         while True:
             edge = key[at : at + EDGE]
             x = node.get(edge)
             if x is None:
-                node[edge] = [key, n, least]
+                x = node[edge] = [key, n, least]
                 self.size += 1
-                return
+                return x
             at += EDGE
             if type(x) is list:
                 if x[0] == key:
                     x[1] += n
                     if least < x[2]:
                         x[2] = least
-                    return
+                    return x
                 node[edge] = {x[0][at : at + EDGE]: x}
             node = node[edge]
 
-    def terminals(self) -> Iterator[tuple[bytes, int, int]]:
-        """Every key with its counter and smallest record key."""
+    def terminals(self) -> Iterator[list]:
+        """Every [key, counter, smallest record key]."""
         stack = [self.root]
         while stack:
             for x in stack.pop().values():
                 if type(x) is list:
-                    yield x[0], x[1], x[2]
+                    yield x
                 else:
                     stack.append(x)
 
 
-_COUNT = "tbl string, kb binary, n bigint, least bigint"
-_ARROW = pa.schema([("tbl", pa.string()), ("kb", pa.binary()), ("n", pa.int64()), ("least", pa.int64())])
-
+# A key with its count and smallest record (kb set), or a record with the smallest of its group (kb null).
+_FOLD = "tbl string, kb binary, n bigint, key bigint, least bigint"
+_ARROW = pa.schema([("tbl", pa.string()), ("kb", pa.binary()), ("n", pa.int64()), ("key", pa.int64()), ("least", pa.int64())])
 
-def _tries(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts (tbl, kb, n, least[, bucket]) rows in tries.
 
-    Tries are given out once ``limit`` keys are held, or, for rows sorted by
-    bucket, when a bucket ends.
-    """
+class _Folder:
+    """Tries by table, and the rows that went in."""
 
-    def out(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-        for tbl, t in tries.items():
-            part: list = []
-            for x in t.terminals():
-                part.append(x)
-                if len(part) == 50_000:
-                    yield _batch(tbl, part)
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.tries: dict[str, Trie] = {}
+        self.rows: list[tuple[str, int, list]] = []
+        self.bytes = 0
+
+    def add(self, tbl: str, kb: bytes, n: int, key: int) -> None:
+        t = self.tries.get(tbl)
+        if t is None:
+            t = self.tries[tbl] = Trie()
+        self.rows.append((tbl, key, t.add(kb, n, key)))
+        self.bytes += len(kb)
+
+    def give(self) -> Iterator[pa.RecordBatch]:
+        """Keys, then the rows that aren't the smallest of theirs."""
+        part: list[tuple] = []
+        for tbl, t in self.tries.items():
+            for kb, n, least in t.terminals():
+                part.append((tbl, kb, n, least, least))
+                if len(part) >= 20_000:
+                    yield _batch(part)
                     part = []
-            if part:
-                yield _batch(tbl, part)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        bucket = None
-        for b in batches:
-            marks = b.column(4).to_pylist() if b.num_columns > 4 else [None] * b.num_rows
-            for tbl, k, n, least, mark in zip(*(c.to_pylist() for c in b.columns[:4]), marks):
-                if mark != bucket:
-                    if tries and sum(t.size for t in tries.values()) > 20_000:
-                        yield from out(tries)
-                        tries = {}
-                    bucket = mark
-                t = tries.get(tbl)
-                if t is None:
-                    t = tries[tbl] = Trie()
-                t.add(k, n, least)
-            if limit and sum(t.size for t in tries.values()) > limit:
-                yield from out(tries)
-                tries = {}
-        yield from out(tries)
-
-    return run
-
-
-def _batch(tbl: str, part: list) -> pa.RecordBatch:
-    k, n, least = zip(*part)
-    return pa.RecordBatch.from_arrays([pa.array([tbl] * len(k)), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], schema=_ARROW)
-
-
-def radix_buckets(keys: DataFrame, bucket_rows: int, max_buckets: int = 200_000) -> list[bytes]:
-    """Prefixes that split ``keys`` (tbl, kb) into buckets of at most ``bucket_rows``.
-
-    The list is on the driver; it holds about rows / bucket_rows prefixes and
-    at most ``max_buckets``: beyond that, buckets are allowed to be larger.
-    """
-    total = keys.count()
-    bucket_rows = max(bucket_rows, total // max_buckets * 4)
-    final: list[bytes] = []
-    depth = RADIX_STEP
-    live = keys.select("kb")
-    while True:
-        counted = live.groupBy(F.substring("kb", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("kb")).alias("long"))
-        # Small prefixes share their parent's bucket, so only oversized ones come to the driver: at most rows / bucket_rows.
-        over = [bytes(r.p) for r in counted.filter((F.col("n") > bucket_rows) & (F.col("long") > depth)).select("p").collect()]
-        if not over:
-            return final
-        final += over
-        depth += RADIX_STEP
-        small = keys.sparkSession.createDataFrame([(bytearray(p),) for p in over], "p binary")
-        live = live.join(F.broadcast(small), F.substring("kb", 1, depth - RADIX_STEP) == F.col("p"), "left_semi")
-
-
-def _bucket(prefixes: list[bytes]) -> Column:
-    """A key's bucket: its longest listed prefix and the radix bytes after it."""
-    by: dict[int, list[bytes]] = {}
-    for p in prefixes:
-        by.setdefault(len(p), []).append(p)
-    out = F.substring("kb", 1, RADIX_STEP)
-    for n in sorted(by):
-        listed = F.array(*[F.lit(p) for p in by[n]]) if len(by[n]) <= 64 else None
-        hit = F.array_contains(listed, F.substring("kb", 1, n)) if listed is not None else F.col("kb").isNotNull()
-        out = F.when(hit, F.substring("kb", 1, n + RADIX_STEP)).otherwise(out)
-    return out
-
-
-def copy_groups(records: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
-    """Groups of copies among ``records`` (tbl, key, kb): (tbl, kb, n, least).
-
-    ``least`` is the smallest key of the group and ``n`` its number of
-    records. Rows with a null ``kb`` belong to no group.
-    """
-    start = records.filter("kb is not null").select("tbl", "kb", F.lit(1).cast("bigint").alias("n"), F.col("key").cast("bigint").alias("least"))
-    local = cut(start.mapInArrow(_tries(200_000), _COUNT), "copies-local")
-    prefixes = radix_buckets(local, bucket_rows)
-    placed = local.withColumn("_b", _bucket(prefixes)).repartition("_b").sortWithinPartitions("_b").select("tbl", "kb", "n", "least", "_b")
-    return placed.mapInArrow(_tries(None), _COUNT)
+        for tbl, key, x in self.rows:
+            if key != x[2]:
+                part.append((tbl, None, None, key, x[2]))
+                if len(part) >= 20_000:
+                    yield _batch(part)
+                    part = []
+        if part:
+            yield _batch(part)
+        self.clear()
 
 
-def copies(records: DataFrame, bucket_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(groups, members): one row for each distinct record with its number of
-    copies, and (tbl, key_a, key_b) for every record but the first of a group.
+def _batch(part: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
 
-    ``records`` holds (tbl, key, kb) and is cut once; groups of one have no
-    members. Members find their group by a join on the key bytes, where the
-    group side holds one row per key, so a hot key on the record side can be
-    split by adaptive execution without losing rows.
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tbl, key, parts...) folded as they come."""
+    f = _Folder()
+    for b in batches:
+        tbls, keys, *parts = (c.to_pylist() for c in b.columns)
+        for tbl, key, *texts in zip(tbls, keys, *parts):
+            if None in texts:
+                continue
+            can = [canonical_bytes(x) for x in texts]
+            if all(can):
+                f.add(tbl, b"\x1f".join(can), 1, key)
+        if len(f.rows) > FOLD_ROWS or f.bytes > FOLD_BYTES:
+            yield from f.give()
+    yield from f.give()
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys (tbl, kb, n, least, bucket) sorted by bucket; a bucket's tries are given out when it ends."""
+    f, bucket = _Folder(), None
+    for b in batches:
+        for tbl, kb, n, least, mark in zip(*(c.to_pylist() for c in b.columns)):
+            if mark != bucket:
+                # Small buckets share a trie.
+                if f.bytes > BUCKET_BYTES:
+                    yield from f.give()
+                bucket = mark
+            f.add(tbl, kb, n, least)
+    yield from f.give()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, next): how far the smallest and the largest key of a bucket agree, and a step more."""
+    for b in batches:
+        out = []
+        for p, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+            n = next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
+            out.append((p, n + RADIX_STEP))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int32())], names=["p", "next"])
+
+
+def radix_buckets(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """``keys`` (kb, ...) of a written table with their bucket ``_b``, and the number of splits that it took.
+
+    A bucket over ``bucket_bytes`` that holds more than one key is split. The
+    prefixes of such buckets stay in written tables; they are looked up by
+    joins, broadcast only while they are small.
+    """
+    prefix = F.substr(F.col("kb"), F.lit(1), F.col("_d"))
+    placed = keys.withColumn("_d", F.lit(RADIX_STEP))
+    live = placed.select("kb", "_d")
+    splits = 0
+    while True:
+        counted = live.groupBy(prefix.alias("p")).agg(F.sum(F.octet_length("kb")).alias("size"), F.min(F.octet_length("kb")).alias("short"), F.max(F.octet_length("kb")).alias("long"), F.min(F.xxhash64("kb")).alias("one"), F.max(F.xxhash64("kb")).alias("other"))
+        many = (F.col("short") != F.col("long")) | (F.col("one") != F.col("other"))
+        over = cut(counted.filter((F.col("size") > bucket_bytes) & many).select("p"), "copies-over")
+        if over.isEmpty():
+            return placed.withColumn("_b", prefix).drop("_d"), splits
+        splits += 1
+        live = live.withColumn("p", prefix).join(small_side(over), "p")
+        # Only keys of oversized buckets are compared: they share their prefix, and often much more.
+        ends = live.groupBy("p").agg(F.min("kb").alias("lo"), F.max("kb").alias("hi"))
+        deeper = small_side(cut(ends.mapInArrow(_shared, "p binary, next int"), "copies-deeper"))
+        live = live.join(deeper, "p").select("kb", F.col("next").alias("_d"))
+        placed = placed.withColumn("p", prefix).join(deeper, "p", "left").withColumn("_d", F.coalesce("next", "_d")).drop("p", "next")
+
+
+def copies(records: DataFrame, parts: list[str], bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): (tbl, least, n) for each distinct record with its
+    smallest key and its number of copies, and (tbl, key_a, key_b) for every
+    record but the first of a group.
+
+    ``records`` holds tbl, key (unique within a tbl) and the text columns
+    ``parts``; other columns are ignored. Records are copies when the letters
+    and digits of all parts agree, case aside. Records with a null part, or
+    one without a letter or digit, belong to no group. An empty table gives
+    no groups.
     """
-    kept = cut(records.filter("kb is not null"), "copies-records")
-    groups = cut(copy_groups(kept, bucket_rows), "copies-groups")
-    many = groups.filter("n > 1").select("tbl", "kb", F.col("least").alias("key_a"))
-    members = kept.join(many, ["tbl", "kb"]).filter("key <> key_a").select("tbl", "key_a", F.col("key").alias("key_b"))
-    return groups, members
+    start = records.select("tbl", F.col("key").cast("bigint").alias("key"), *[F.col(p).alias(f"t{i}") for i, p in enumerate(parts)])
+    local = cut(start.mapInArrow(_scan, _FOLD), "copies-local")
+    placed, _ = radix_buckets(local.filter("kb is not null").select("tbl", "kb", "n", "least"), bucket_bytes)
+    counted = cut(placed.repartition("_b").sortWithinPartitions("_b").select("tbl", "kb", "n", "least", "_b").mapInArrow(_count, _FOLD), "copies-groups")
+    groups = counted.filter("kb is not null").select("tbl", "least", "n")
+    # (key, least): smallest records of a task that aren't the smallest of all.
+    moved = counted.filter("kb is null").select("tbl", "key", "least")
+    first = local.filter("kb is null").select("tbl", "key", F.col("least").alias("_l"))
+    own = first.join(moved.select("tbl", F.col("key").alias("_l"), "least"), ["tbl", "_l"], "left").select("tbl", "key", F.coalesce("least", "_l").alias("least"))
+    return groups, own.unionByName(moved).select("tbl", F.col("least").alias("key_a"), F.col("key").alias("key_b"))
 
 
 _XML = "key bigint, id string, source string"

@@ -60,20 +60,24 @@ def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "string_rows").select(F.col("row_idx").alias("key"), "id", "source")
+    rows = table(spark, sf_dir, "string_rows").select(F.lit("string_rows").alias("tbl"), F.col("row_idx").alias("key"), "id", "source")
     raw = copies.parse_records(table(spark, sf_dir, "raw_records"), "rec_id", "xml")
-    both = rows.withColumn("tbl", F.lit("string_rows")).unionByName(raw.withColumn("tbl", F.lit("raw_records")))
-    return both.select("tbl", "key", copies.canonical_key([F.col("id"), F.col("source")]).alias("kb"))
+    return rows.unionByName(raw.withColumn("tbl", F.lit("raw_records")))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each distinct String record with its number of copies."""
-    return copies.copies(_records(spark, sf_dir))[0].select("tbl", F.col("least").alias("key"), F.col("n").alias("n_copies"))
+    return copies.copies(_records(spark, sf_dir), ["id", "source"])[0].select("tbl", F.col("least").alias("key"), F.col("n").alias("n_copies"))
+
+
+def p4_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for string_rows alone."""
+    return copies.copies(_records(spark, sf_dir).filter("tbl = 'string_rows'"), ["id", "source"])[0].select(F.col("least").alias("row_idx"), F.col("n").alias("n_copies"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record that is a copy of one with a smaller key."""
-    return copies.copies(_records(spark, sf_dir))[1]
+    return copies.copies(_records(spark, sf_dir), ["id", "source"])[1]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +176,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": """SELECT row_idx FROM string_rows s WHERE length(source) > coalesce(
             (SELECT max_chars FROM split_limits l WHERE l.provider = coalesce(s.provider, '*')), (SELECT max_chars FROM split_limits l WHERE l.provider = '*'))""",
+        "p4_row_groups": r"""SELECT min(row_idx) AS row_idx, count(*) AS n_copies FROM (SELECT row_idx,
+            regexp_replace(lower(id), '[^\p{L}\p{N}]+', '', 'g') AS i, regexp_replace(lower(source), '[^\p{L}\p{N}]+', '', 'g') AS s FROM string_rows)
+            WHERE i <> '' AND s <> '' GROUP BY i, s""",
         "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({grams("documents", "doc_id", words, 12, "true")}) d
             JOIN ({grams("eval_items", "item_id", words, 12, f"coalesce(NOT {by_sign}, true)")}) i USING (gram)
             UNION SELECT DISTINCT doc_id, item_id FROM ({grams("documents", "doc_id", signs, 20, "true")}) d

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,8 +176,8 @@ def test_copies(spark):
         rows.append((i, "Id-" + t[:3], random.choice([t, t.upper(), " ".join(t), t + "!?"])))
     rows += [(9000, None, "x"), (9001, "x", None), (9002, "", "x"), (9003, "..", "x"), (9004, "a", "z" * 30000), (9005, "A", "Z" * 30000 + " ")]
     df = spark.createDataFrame(rows, "key bigint, id string, t string").repartition(5)
-    rec = df.select(F.lit("t").alias("tbl"), "key", copies.canonical_key([F.col("id"), F.col("t")]).alias("kb"))
-    groups, members = copies.copies(rec, bucket_rows=50)
+    rec = df.withColumn("tbl", F.lit("t")).withColumn("kb", F.lit("other"))
+    groups, members = copies.copies(rec, ["id", "t"], bucket_bytes=500)
     want = {}
     for k, i, t in rows:
         a, b = (re.sub(r"[\W_]+", "", x or "").lower() for x in (i, t))
@@ -197,6 +198,29 @@ def test_trie_like_dictionary():
     assert {k: (n, m) for k, n, m in t.terminals()} == d and t.size == len(d)
 
 
+def test_radix_splits_until_buckets_fit(spark):
+    random.seed(6)
+    # A long stretch that all keys share, one hot key, keys of all lengths.
+    keys = sorted({b"x" * 400 + bytes(random.choices(b"abc", k=random.randint(0, 12))) for _ in range(3000)}) + [b"x" * 400] * 50 + [b"yy" * 900] * 40
+    df = spark.createDataFrame([(bytearray(k),) for k in keys], "kb binary").repartition(4)
+    got, splits = copies.radix_buckets(df, 5000)
+    rows = got.collect()
+    assert 2 <= splits <= 8 and sorted(bytes(r.kb) for r in rows) == sorted(keys)
+    buckets = {}
+    for r in rows:
+        assert bytes(r.kb).startswith(bytes(r["_b"]))
+        buckets.setdefault(bytes(r["_b"]), []).append(bytes(r.kb))
+    assert all(sum(map(len, v)) <= 5000 or len(set(v)) == 1 for v in buckets.values())
+
+
+def test_folds_are_given_out(spark, monkeypatch):
+    monkeypatch.setattr(copies, "FOLD_ROWS", 7)
+    f = lambda rows: copies._scan(iter([pa.RecordBatch.from_arrays([pa.array(["t"] * len(r)), pa.array([k for k, _ in r]), pa.array([x for _, x in r])], names=["tbl", "key", "t0"]) for r in rows]))
+    got = [x for b in f([[(i, "A-b") for i in range(10)], [(20, "ab"), (21, "c")]]) for x in b.to_pylist()]
+    assert [(x["kb"], x["n"], x["least"]) for x in got if x["kb"]] == [(b"ab", 10, 0), (b"ab", 1, 20), (b"c", 1, 21)]
+    assert [(x["key"], x["least"]) for x in got if not x["kb"]] == [(i, 0) for i in range(1, 10)]
+
+
 def test_parse(spark):
     xml = ['<String EDID="" id="i"><EDID>c</EDID><Source>a</Source></String>', '<String id="i"><Source><![CDATA[x & y]]></Source><EDID>c</EDID></String>', '<String id="i"><EDID/><Source>&#65;&amp;</Source></String>', "<String><Source>a", '<String id="i"><Dest>d</Dest></String>', "", None, '<String id="i"><Source/></String>', "<String><Source>s</Source></String>"]
     df = spark.createDataFrame(list(enumerate(xml)), "rec_id bigint, xml string")
@@ -205,7 +229,7 @@ def test_parse(spark):
 
 
 def test_copies_empty(spark):
-    groups, members = copies.copies(spark.createDataFrame([], "tbl string, key bigint, kb binary"))
+    groups, members = copies.copies(spark.createDataFrame([], "tbl string, key bigint, t string"), ["t"])
     assert groups.count() == 0 and members.count() == 0
 
 
