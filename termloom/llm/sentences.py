@@ -12,14 +12,15 @@ language only settles what the text leaves open.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before and after a position that a rule may look at.
-WINDOW = 160
+#: Characters before a mark within which every rule but those of quotations finds what it needs.
+REACH = 32
 
 # „…“ closes with the mark that opens “…”: it closes where no word follows.
 _CLOSE = r"(?:[\"'”’»›\)\]）】」』〉》\*_]|“(?![^\W_]|[「『{<\[]))"
@@ -29,7 +30,8 @@ _ENDS = rf"{_END}+(?:(?:[  ]?»|{_CLOSE}|</\w+>)*{_END}+)*"
 _CANDIDATE = re.compile(rf"{_ENDS}(?:[  \s]?»|{_CLOSE}|</\w+>)*|(?<=[฀-๿])\s+(?=[฀-๿])")
 _THAI_GAP = re.compile(r"\s")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
-_MARKER = re.compile(r"\n[^\S\n]*(?=(?:(?P<bullet>[-•*–—·▪‣◦])|(?P<open>\()?(?P<n>\d{1,3})[.)、]|[a-zA-Z]\))[^\S\n]+\S)")
+# A line break before which a unit may end because a list item follows.
+_MARKER = re.compile(r"\n[^\S\n]*(?=(?:[-•*–—·▪‣◦]|(?P<open>\()?(?P<n>\d{1,3})[.)、]|[a-zA-Z]\))[^\S\n]+\S)")
 
 # Abbreviations after which a sentence goes on whatever follows (titles and the like) ...
 _ALWAYS = {
@@ -74,8 +76,12 @@ def _abbreviation(words: str) -> str:
     return rf"(?:^|[^\w.])(?:{words})\.\Z" if words else r"(?!)"
 
 
-def _rule(verdict: bool, before: str, after: str) -> tuple[bool, re.Pattern, re.Pattern]:
-    return verdict, re.compile(before), re.compile(after)
+def _rule(verdict: bool, before: str, after: str, quoted: bool = False) -> tuple[bool, re.Pattern, re.Pattern, bool]:
+    """``before`` ends at a position, ``after`` begins there; ``quoted`` rules look back to the opening of a quotation."""
+    return verdict, re.compile(before), re.compile(after), quoted
+
+
+_QUOTES = re.compile(r"[“”「」『』\"]")
 
 
 _ANY = r"(?s:.)?"
@@ -123,10 +129,10 @@ def _tables(lang: str) -> list:
         speech = _SPEECH[lang]
         rules += [
             # a quotation that follows a colon or words of its sentence closes it
-            _rule(True, r"[：:]\s*[“「『\"][^“”「」『』\"]*[。！？।!?.]+[”」』\"]\Z", r"\s*[^\s，、,]"),
+            _rule(True, r"[：:]\s*[“「『\"][^“”「」『』\"]*[。！？।!?.]+[”」』\"]\Z", r"\s*[^\s，、,]", True),
             # particles of quotation
             _rule(False, rf"{_END}[”」』\"]\Z", r"(?:と|って|라고|이라고|라며|하고|고)"),
-            _rule(False, rf"(?:^|[\s。！？।!?.\n”」』）\)]|\d[.)]\s|[•*-]\s)[“「『\"][^“”「」『』\"]*[。！？।!?.]+[”」』\"]\Z", rf"\s*[^。！？।!?\n“”「」『』：:]{{0,60}}(?:{speech})"),
+            _rule(False, rf"(?:^|[\s。！？।!?.\n”」』）\)]|\d[.)]\s|[•*-]\s)[“「『\"][^“”「」『』\"]*[。！？।!?.]+[”」』\"]\Z", rf"\s*[^。！？।!?\n“”「」『』：:]{{0,60}}(?:{speech})", True),
             _rule(False, rf"[。！？][）\)]\Z", r"(?:は|が|を|に|の|と|で|も)"),
         ]
     rules += [
@@ -179,53 +185,111 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def _list_starts(text: str, start: int, end: int) -> list[int]:
+#: What decides a line break before a list item: break, no break, or (None) whether the item's number counts on from the last one.
+_LINE_RULES = [
+    # a number inside an open bracket that closes after it
+    (False, re.compile(r"\([^()]*\Z"), re.compile(r"\s*\d[^()]{0,3}\)")),
+    (None, re.compile(r"\Z"), re.compile(r"\s*\(?\d")),
+    # a dash at a wrapped line's start
+    (True, re.compile(r"[.!?…。！？।:：][^\S\n]*\Z"), re.compile(r"\s*[–—]")),
+    (False, re.compile(r"\Z"), re.compile(r"\s*[–—]")),
+    (True, re.compile(r"\Z"), re.compile(r"\s*\S")),
+]
+_ENDED = re.compile(r"(?:[.!?…。！？।:：»”\"]|\A|\n)[^\S\n]*\Z")
+_HEAD = re.compile(r"\s*\(?(\d{1,3})[.)]")
+
+
+def _list_starts(text: str) -> list[int]:
     """Line breaks of a block before which a unit ends because a list item follows."""
-    out, last = [], None
-    head = re.match(r"\s*\(?(\d{1,3})[.)]", text[start : min(end, start + 12)])
-    if head:
-        last = int(head[1])
-    for m in _MARKER.finditer(text, start, end):
-        if m["n"] is not None:
-            n, line = int(m["n"]), text[max(start, m.start() - WINDOW) : m.start()].rstrip()
-            after_end = line[-1:] in ".!?…。！？।:：»”\"" or not line
-            # A wrapped line may begin with a number: items count on from the last one.
-            if not (last is not None and n == last + 1 or last is None and n in (0, 1) and after_end):
+    out: list[int] = []
+    head = _HEAD.match(text)
+    last = int(head[1]) if head else None
+    bracket, seen = -1, 0  # where the bracket stands that is open
+    for m in _MARKER.finditer(text):
+        at = m.start()
+        shut, opened = text.rfind(")", seen, at), text.rfind("(", seen, at)
+        bracket, seen = opened if opened > shut else -1 if shut >= 0 else bracket, at
+        for verdict, before, after in _LINE_RULES:
+            # a bracket is looked for where it opens, other marks stand next to the break
+            lo = (bracket if bracket >= 0 else at) if "(" in before.pattern[:2] else max(0, at - REACH)
+            if not (after.match(text, at) and before.search(text, lo, at)):
                 continue
-            if m["open"] is None and line.count("(") > line.count(")") and text[m.end() : m.end() + 5].find(")") > 0:
-                continue
-            last = n
-        elif m["bullet"] in ("–", "—"):
-            line = text[max(start, m.start() - WINDOW) : m.start()].rstrip()
-            if line[-1:] not in ".!?…。！？।:：":
-                continue  # a dash at a wrapped line's start
-        out.append(m.start())
+            if verdict is None:
+                # A wrapped line may begin with a number: the first one follows a closed line.
+                n = int(m["n"])
+                verdict = n == last + 1 if last is not None else n in (0, 1) and _ENDED.search(text, max(0, at - REACH), at) is not None
+                last = n if verdict else last
+            if verdict:
+                out.append(at)
+            break
     return out
 
 
+#: Marks that close a sentence wherever they stand alone.
+_PLAIN = set("。！？।॥｡")
+#: Last parts of all abbreviations: words that may stand before a point inside a sentence.
+_LAST_PARTS = {re.findall(r"[^\W\d_]+", w)[-1] for t in (_ALWAYS, _MAYBE) for ws in t.values() for w in ws.split()}
+_ROMAN = set("ivxlcIVXLC")
+
+
+def _plain(text: str, mark: int, p: int) -> bool:
+    """Whether a candidate of one mark is a break by the default rules and no other rule can apply: what most marks are."""
+    if p - mark != 1:
+        return False
+    if text[mark] in _PLAIN:
+        return True
+    if text[mark] not in ".!?" or not text[p].isspace():
+        return False
+    lo = max(0, mark - REACH)
+    at = text.rfind(" ", lo, mark)
+    if at < 0 < lo:
+        return False
+    word = text[max(at + 1, lo) : mark]
+    return len(word) > 1 and word.isalpha() and word not in _LAST_PARTS and not _ROMAN.issuperset(word)
+
+
 def units(text: str | None, given: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence unit, in code points, without surrounding white space."""
     if not text or text.isspace():
         return []
-    lang = language(text, given)
+    return _units(text, language(text, given))
+
+
+def _units(text: str, lang: str) -> list[tuple[int, int]]:
     rules = _RULES.get(lang)
     if rules is None:
         rules = _RULES[lang] = _tables(lang)
     out: list[tuple[int, int]] = []
     for a, b in _blocks(text):
-        cuts = _list_starts(text, a, b)
-        for m in _CANDIDATE.finditer(text, a, b):
-            p = m.start() if m.group().isspace() else m.end()
-            if p >= b:
+        block, n = text[a:b], b - a
+        cuts = _list_starts(block) if "\n" in block else []
+        quotes: list[int] | None = None
+        for m in _CANDIDATE.finditer(block):
+            mark = m.start()
+            p = mark if block[mark].isspace() else m.end()
+            if p >= n:
+                continue
+            if _plain(block, mark, p):
+                cuts.append(p)
                 continue
-            before, after = text[max(a, p - WINDOW) : p], text[p : min(b, p + WINDOW)]
-            for verdict, rb, ra in rules:
-                if ra.match(after) and rb.search(before):
+            for verdict, rb, ra, quoted in rules:
+                if not ra.match(block, p):
+                    continue
+                lo = max(0, mark - REACH)
+                if quoted:
+                    # from the quotation's opening mark, however far back it stands
+                    if quotes is None:
+                        quotes = [q.start() for q in _QUOTES.finditer(block)]
+                    i = bisect_left(quotes, mark)
+                    if not i:
+                        continue
+                    lo = max(0, quotes[i - 1] - REACH)
+                if rb.search(block, lo, p):
                     if verdict:
                         cuts.append(p)
                     break
         at = a
-        for c in [*sorted(set(cuts)), b]:
+        for c in [*sorted({a + x for x in cuts}), b]:
             s, e = at, c
             while s < e and text[s].isspace():
                 s += 1
@@ -243,10 +307,12 @@ _ARROW = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("starts", pa.li
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for k, t, lang in zip(*(c.to_pylist() for c in b.columns)):
-            u = units(t, lang)
-            if u:
-                out.append((k, language(t, lang), [x for x, _ in u], [y for _, y in u]))
+        for k, t, given in zip(*(c.to_pylist() for c in b.columns)):
+            if t.isspace():
+                continue
+            lang = language(t, given)
+            u = _units(t, lang)
+            out.append((k, lang, [x for x, _ in u], [y for _, y in u]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 

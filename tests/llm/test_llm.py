@@ -466,6 +466,26 @@ def test_sentence_layout():
     assert [th[a:b] for a, b in sentences.units(th)] == ["หิมะตกหนัก", "เขาพบ 20 เหรียญ", "ประตูปิด"]
 
 
+@pytest.mark.parametrize("n", [3, 60, 2000])
+def test_long_quotations_and_brackets(n):
+    # What a rule needs may stand any distance back: the opening of a quotation, an open bracket.
+    said = "“" + "他等了很久，" * n + "把剑放下！”林在楼梯上喊道。"
+    t = said + "他走了。"
+    assert [t[a:b] for a, b in sentences.units(t)] == [said, "他走了。"]
+    noted = "1. One (" + "half of the letter was burnt, " * n + "no.\n2) read."
+    t = noted + "\n2. Two."
+    assert [t[a:b] for a, b in sentences.units(t, "en")] == [noted, "2. Two."]
+
+
+def test_plain_marks_agree_with_the_cascade(monkeypatch):
+    random.seed(10)
+    bits = ["Mr", "word", "etc", "XI", "a", "Haus", "9", "т", "век", "字", "»", ")", "\"", ".", ".", "!", "?", "。", "…", " ", " ", "\n", ", ", "k."]
+    texts = ["".join(random.choices(bits, k=40)) for _ in range(3000)]
+    fast = [sentences.units(t, lang) for t in texts for lang in ("en", "de", "ru")]
+    monkeypatch.setattr(sentences, "_plain", lambda *a: False)
+    assert fast == [sentences.units(t, lang) for t in texts for lang in ("en", "de", "ru")]
+
+
 def test_sentence_table(spark):
     rows = [(1, "One. Two.", "xx"), (2, None, None), (3, "", "en"), (4, " \n ", "en"), (5, "word " * 30000, None), (1, "One. Two.", "xx")]
     df = spark.createDataFrame(rows, "d bigint, t string, l string").withColumn("unit", F.lit(1)).withColumn("start_char", F.lit(1))
