@@ -51,11 +51,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar others of every vector whose pos is divisible by 100, by greedy walks on the graph."""
-    units = cut(neighbours.unit_vectors(table(spark, sf_dir, "vector_index"), "pos", "embedding", WIDTH), "search-units")
-    nodes, members = neighbours.distinct_vectors(units)
+    vectors = cut(neighbours.usable(table(spark, sf_dir, "vector_index"), "pos", "embedding", WIDTH), "search-vectors")
+    nodes, members = neighbours.distinct_vectors(vectors)
     nodes, members = cut(nodes, "search-nodes"), cut(members, "search-members")
     graph = neighbours.knn_graph(nodes, WIDTH)
-    asked = units.filter("key % 100 = 0").select(F.col("key").alias("query"), "unit")
+    asked = vectors.filter("key % 100 = 0").select(F.col("key").alias("query"), "v")
     return neighbours.rows_of(neighbours.greedy_search(asked, nodes, graph, k=6), members, 5)
 
 

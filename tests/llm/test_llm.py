@@ -115,10 +115,10 @@ def test_neighbours_recall(spark):
     hit = sum(len(set(got[i]) & set(want[i])) for i in want)
     assert hit >= 0.95 * sum(map(len, want.values()))
     assert got[len(m) - 1] == [len(m) - 150 + i for i in range(5)]  # equal vectors: smallest positions
-    units = neighbours.unit_vectors(df, "pos", "e", 24)
+    units = neighbours.usable(df, "pos", "e", 24)
     nodes, _ = neighbours.distinct_vectors(units)
     graph = neighbours.knn_graph(nodes, 24)
-    asked = units.filter("key % 100 = 0").select(F.col("key").alias("query"), "unit")
+    asked = units.filter("key % 100 = 0").select(F.col("key").alias("query"), "v")
     walk = neighbours.greedy_search(asked, nodes, graph, 6).filter("query <> node").collect()
     distinct = len(m) - 150
     qs = [q for q in range(0, distinct, 100)]
@@ -127,14 +127,15 @@ def test_neighbours_recall(spark):
 
 
 def test_neighbours_go_on_until_lists_stay(spark, monkeypatch):
-    # One tree with one bit places few neighbours in a block, so three rounds aren't enough.
+    # Two trees with one bit place few neighbours in a small block, so three rounds aren't enough.
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
     r = np.random.default_rng(5)
     m = r.normal(size=(2000, 6)) @ r.normal(size=(6, 24))
-    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "key bigint, unit array<double>").repartition(3)
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "key bigint, v array<double>").repartition(3)
     shares, changed = [], neighbours._changed
     monkeypatch.setattr(neighbours, "_changed", lambda g: shares.append(changed(g)) or shares[-1])
-    assert neighbours.knn_graph(units, 24, trees=1, bits=1).count() == 12 * 2000
-    assert len(shares) > 4 and shares[-1] <= 0.001 < min(shares[:-1])
+    assert neighbours.knn_graph(units, 24, trees=2, bits=1).count() == 12 * 2000
+    assert len(shares) > 4 and shares[-1] <= 0.002 < min(shares[:-1])
 
 
 def test_search_reaches_clusters_and_repeats(spark):
@@ -142,10 +143,11 @@ def test_search_reaches_clusters_and_repeats(spark):
     r = np.random.default_rng(5)
     one = np.repeat(r.normal(size=(200, 24)), 13, 0) + 0.2 * r.normal(size=(2600, 24))
     m = np.concatenate([one, one])
-    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "key bigint, unit array<double>").repartition(3)
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m / np.linalg.norm(m, axis=1, keepdims=True))], "pos bigint, e array<double>").repartition(3)
+    units = neighbours.usable(units, "pos", "e", 24)
     nodes, members = neighbours.distinct_vectors(units)
     near = brute(m, 5)
-    asked = units.filter("key % 20 = 0").select(F.col("key").alias("query"), "unit")
+    asked = units.filter("key % 20 = 0").select(F.col("key").alias("query"), "v")
     edges = [(a, b, float(-abs(a - b))) for a in range(2600) for b in range(a // 13 * 13, a // 13 * 13 + 13) if a != b]
     graph = spark.createDataFrame(edges, "a bigint, b bigint, sim float")
     got = {}
@@ -157,7 +159,7 @@ def test_search_reaches_clusters_and_repeats(spark):
 
 def test_projections_grow():
     sizes = [neighbours._projections(n) for n in (1, 5_000, 50_000, 500_000)]
-    assert sizes[0] == (4, 6) and sizes == sorted(sizes) and len({t for t, _ in sizes[1:]}) == len({b for _, b in sizes[1:]}) == 3
+    assert sizes[0] == (4, 4) and sizes == sorted(sizes) and len({t for t, _ in sizes[1:]}) == len({b for _, b in sizes[1:]}) == 3
 
 
 def test_neighbours_empty(spark):
