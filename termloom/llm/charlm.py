@@ -128,6 +128,7 @@ class Model:
         every[slots] = counts
         self.bi = every[:BIGRAM_SLOTS].astype(np.float32)
         uni, pair = every[BIGRAM_SLOTS : BIGRAM_SLOTS + UNIGRAM_SLOTS], every[BIGRAM_SLOTS + UNIGRAM_SLOTS :].reshape(CLASSES, CLASSES)
+        self.total = float(uni.sum())
         k = classes(np.arange(UNIGRAM_SLOTS))
         in_class = np.bincount(k, weights=uni + 0.5, minlength=CLASSES)
         self.within = ((uni + 0.5) / in_class[k]).astype(np.float32)

@@ -6,8 +6,9 @@ can be inverted, so the likelihood of a text under a chain is the likelihood
 of the inverted text under a character model of clean text. How often each
 source (plugin and field) uses each chain is unknown as well;
 expectation-maximization alternates between the posterior of every record's
-chain and the rates of each source, which pools evidence too weak in a single
-record. Rates of small sources lean on the rates of all sources.
+chain and the rates of each source until they stay, which pools evidence too
+weak in a single record. Rates of small sources lean on the rates of all
+sources.
 
 One pass over the table counts the character model (on texts without a
 structural trace of a chain) and keeps the few texts that some chain can
@@ -17,6 +18,7 @@ the kept texts.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -61,13 +63,15 @@ def _utf8_pattern(t: dict[str, int]) -> re.Pattern:
         # Cyrillic letters are lead and tail bytes themselves: one pair may be chance, unless its tail is a sign.
         sign = "[" + "".join(re.escape(c) for c, b in t.items() if 0x80 <= b <= 0xBF and not c.isalpha()) + "]"
         two = f"(?:{_cls(t, 0xC2, 0xDF)}{tail}|{_cls(t, 0xE1, 0xEF)}{tail}{{2}})"
-        return re.compile(f"{two}(?:[ -~]?{two})+|{_cls(t, 0xC2, 0xDF)}{sign}" if t["а"] >= 0xC0 else f"(?:{_cls(t, 0xC2, 0xDF)}{tail})+")
+        # Beside a Latin letter a pair is no chance either.
+        return re.compile(f"{two}(?:[ -~]?{two})+|{_cls(t, 0xC2, 0xDF)}{sign}|(?<=[A-Za-z]){two}|{two}(?=[A-Za-z])" if t["а"] >= 0xC0 else f"(?:{_cls(t, 0xC2, 0xDF)}{tail})+")
     return re.compile(f"(?:{_cls(t, 0xC2, 0xDF)}{tail}|{_cls(t, 0xE0, 0xEF)}{tail}{{2}}|{_cls(t, 0xF0, 0xF4)}{tail}{{3}})+")
 
 
-_UTF8_IN = {n: _utf8_pattern(t) for n, t in _ONE_BYTE.items() if n not in ("koi8_r",)}
+_UTF8_IN = {n: _utf8_pattern(t) for n, t in _ONE_BYTE.items()}
 _UTF8_BYTES = re.compile(rb"(?:[\xe1-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[ -~]{1,3}(?=[\xc2-\xef]))+")
-_THREE = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2}")
+# Two three-byte signs in a row, or four Cyrillic letters.
+_THREE = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2}|(?:[\xd0\xd1][\x80-\xbf]){4}")
 _SEQ = re.compile(rb"[\xe2-\xef][\x80-\xbf]{2}|[\xc2-\xdf][\x80-\xbf]")
 _RUN_1252 = re.compile("[" + "".join(re.escape(c) for c in _ONE_BYTE["cp1252"]) + "]" + "(?:[ -~\n\t" + "".join(re.escape(c) for c in _ONE_BYTE["cp1252"]) + "]*[" + "".join(re.escape(c) for c in _ONE_BYTE["cp1252"]) + "])?[@-~]?")
 _CYR_ODD = re.compile("[а-яё][А-ЯЁ]|[Ѐ-ЏѐЂђ-џ─-◿⌠⌡≈∙√]")
@@ -367,22 +371,16 @@ def _scorer(model_b):
         model = charlm.Model(*model_b.value)
         for b in batches:
             keys, fields, srcs, texts, chains, inverted = (c.to_pylist() for c in b.columns)
-            flat = [x for xs in inverted for x in xs]
-            base, got = model.score(texts), model.score(flat)
-            out, at = [], 0
+            base, got = model.score(texts), model.score([x for xs in inverted for x in xs])
+            ratios, at = [], 0
             for i, (cs, xs) in enumerate(zip(chains, inverted)):
-                best: list[tuple[float, str, str]] = []
-                for j, (c, x) in enumerate(zip(cs, xs)):
-                    # A lost character is as good as certain: clean text holds none.
-                    llr = 20.0 if c == LOSSY else float(got[at + j] - base[i]) - MIXED_COST * max(0, len(_MIXED.findall(x)) - len(_MIXED.findall(texts[i])))
-                    if llr > -3.0:
-                        best.append((llr, c, x))
+                # A lost character is certain where bytes are lost; clean text holds one in all characters seen at most.
+                llr = [math.log(model.total + 1) if c == LOSSY else float(got[j] - base[i]) - MIXED_COST * max(0, len(_MIXED.findall(x)) - len(_MIXED.findall(texts[i]))) for j, (c, x) in enumerate(zip(cs, xs), at)]
                 at += len(cs)
-                if best:
-                    best = sorted(best, reverse=True)[:4]
-                    out.append((keys[i], fields[i], srcs[i], [c for _, c, _ in best], [min(best[0][0], 60.0) - (best[0][0] - v) for v, _, _ in best], [x for _, _, x in best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                top = max(llr)
+                ratios.append([min(top, 60.0) - (top - v) for v in llr])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((keys, fields, srcs, chains, ratios, inverted), arrow)], schema=arrow)
 
     return run
 
@@ -393,14 +391,16 @@ def _posterior(llr: str, rate: str) -> Column:
     return F.transform(w, lambda x: x / (F.aggregate(w, F.lit(0.0), lambda a, y: a + y) + F.lit(1.0)))
 
 
-def garbled(df: DataFrame, key: str, source: str, fields: list[str], iterations: int = 3, alpha: float = 50.0) -> DataFrame:
+def garbled(df: DataFrame, key: str, source: str, fields: list[str], most: int = 50, moved: float = 1e-3, alpha: float = 50.0) -> DataFrame:
     """Fields of ``df`` that hold wrongly decoded text, with the text put right.
 
     ``key`` is a unique bigint, ``source`` names where a record comes from and
     ``fields`` are text columns. Gives (key, field, chain, posterior, restored)
     for every field whose most probable explanation is a chain; ``restored``
     keeps U+FFFD where bytes are lost. ``alpha`` is the number of records that
-    the rates of all sources weigh against those of one source.
+    the rates of all sources weigh against those of one source. EM goes on
+    until at most a share ``moved`` of the records found changes its chain in a
+    turn, and ``most`` times at most.
 
     A null source is a source of its own; null and empty texts are never
     cases; repeated rows each give their row; other columns, whatever their
@@ -413,19 +413,22 @@ def garbled(df: DataFrame, key: str, source: str, fields: list[str], iterations:
     lm = scanned.filter("kind = 0").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     model_b = spark.sparkContext.broadcast((lm["slot"].to_numpy(np.int64), lm["n"].to_numpy(np.float64)))
     cand = cut(scanned.filter("kind = 1").select("key", "field", F.coalesce("src", F.lit("")).alias("src"), "text", "chains", "inverted").mapInArrow(_scorer(model_b), _SCORED), "encoding-scored")
-    sizes = scanned.filter("kind = 2").groupBy("field", F.coalesce("src", F.lit("")).alias("src")).agg(F.sum("n").alias("size"))
+    sizes = cut(scanned.filter("kind = 2").groupBy("field", F.coalesce("src", F.lit("")).alias("src")).agg(F.sum("n").alias("size")), "encoding-sizes")
     total = F.broadcast(sizes.groupBy("field").agg(F.sum("size").alias("all_size")))  # a row per field
-    # EM on histograms: records of a source with the same chains and rounded ratios count together.
-    hist = cut(cand.groupBy("field", "src", "chains", F.transform("llr", lambda v: F.round(v)).alias("llr")).agg(F.count(F.lit(1)).alias("n")), "encoding-hist")
-    start = 1e-4
-    post = hist.withColumn("rate", F.transform("chains", lambda c: F.lit(start)))
-    rates = None
-    for _ in range(iterations):
+    # EM on histograms: records of a source with the same chains and rounded ratios count together; what is beyond e^-20 counts as that.
+    hist = cut(cand.groupBy("field", "src", "chains", F.transform("llr", lambda v: F.greatest(F.round(v), F.lit(-20.0))).alias("llr")).agg(F.count(F.lit(1)).alias("n")), "encoding-hist")
+    flat = lambda d: d.withColumn("rate", F.transform("chains", lambda c: F.lit(1e-4)))
+    post, rates, before = flat(hist), None, None
+    for _ in range(most):
         e = post.withColumn("r", _posterior("llr", "rate")).select("field", "src", F.col("n").alias("n"), F.explode(F.arrays_zip("chains", "r")).alias("x"))
-        own = e.groupBy("field", "src", F.col("x.chains").alias("chain")).agg(F.sum(F.col("x.r") * F.col("n")).alias("mass"))
+        own = cut(e.groupBy("field", "src", F.col("x.chains").alias("chain")).agg(F.sum(F.col("x.r") * F.col("n")).alias("mass")), "encoding-mass")
         pooled = own.groupBy("field", "chain").agg(F.sum("mass").alias("all_mass"))
+        now = {(r.field, r.chain): r.all_mass for r in pooled.collect()}  # a row per field and chain
+        if before is not None and sum(abs(v - before.get(k, 0.0)) for k, v in now.items()) <= moved * sum(now.values()):
+            break
+        before = now
         rate = (
-            own.join(pooled, ["field", "chain"]).join(total, "field").join(sizes, ["field", "src"])
+            own.join(F.broadcast(pooled), ["field", "chain"]).join(total, "field").join(sizes, ["field", "src"])
             .withColumn("rate", (F.col("mass") + alpha * F.col("all_mass") / F.col("all_size")) / (F.col("size") + alpha))
             .withColumn("rate", F.greatest(F.least(F.col("rate"), F.lit(0.95)), F.lit(1e-7)))
             .withColumn("rate", F.col("rate") / (1.0 - F.least(F.col("rate"), F.lit(0.9))))
@@ -433,7 +436,7 @@ def garbled(df: DataFrame, key: str, source: str, fields: list[str], iterations:
         rates = cut(rate.groupBy("field", "src").agg(F.map_from_entries(F.collect_list(F.struct("chain", "rate"))).alias("rates")), "encoding-rates")
         post = _with_rates(hist, rates)
     final = (
-        _with_rates(cand, rates).withColumn("r", _posterior("llr", "rate"))
+        (flat(cand) if rates is None else _with_rates(cand, rates)).withColumn("r", _posterior("llr", "rate"))
         .withColumn("sum", F.aggregate("r", F.lit(0.0), lambda a, x: a + x))
         .withColumn("best", F.array_position("r", F.array_max("r")).cast("int"))
         .filter("sum > 0.5")

@@ -54,6 +54,28 @@ def test_garbled_round_trip(spark):
     assert right >= 0.9 * len(want)
 
 
+def test_weak_evidence_is_pooled(spark):
+    """Words of two or three letters: too little on their own, plenty for a source that garbles most of them."""
+    short = ["Да", "Нет", "Ты", "Мы", "Он", "Лук", "Щит", "Нож", "Дом", "Лес", "Сон", "Мир"]
+    rows = [(i, "clean", t, None) for i, t in enumerate((CLEAN + short * 4) * 40)]
+    n = len(rows)
+    rows += [(n + i, "worn", short[i % 12] if i % 5 == 0 else garble(short[i % 12], "koi8_r", "cp1251"), None) for i in range(600)]
+    df = spark.createDataFrame(rows, ROW)
+    want = {n + i for i in range(600) if i % 5}
+    alone = {r.row_idx for r in encoding.garbled(df, "row_idx", "plugin", ["source", "dest"], most=0).collect()}
+    pooled = {r.row_idx: r for r in encoding.garbled(df, "row_idx", "plugin", ["source", "dest"]).collect()}
+    print(len(alone & want), len(pooled.keys() & want), len(want), len(pooled.keys() - want))
+    assert len(alone & want) < 0.5 * len(want) and len(pooled.keys() & want) > 0.9 * len(want) and len(pooled.keys() - want) < 0.02 * len(want)
+
+
+def test_more_chains(spark):
+    ru = "Когда зазвонит колокол, отдайте старый меч стражу из селения."
+    pairs_ = [("koi8_r", garble(ru, "utf-8", "koi8_r")), ("gbk", ru.encode().decode("gbk", "replace")), ("cp932", ru.encode().decode("cp932", "replace"))]
+    rows = [(i, "p", t, None) for i, t in enumerate(CLEAN * 60)] + [(9000 + i, "q", t, None) for i, (_, t) in enumerate(pairs_)]
+    got = {r.row_idx: r.chain for r in encoding.garbled(spark.createDataFrame(rows, ROW), "row_idx", "plugin", ["source", "dest"]).collect()}
+    assert set(got) == {9000, 9001, 9002} and got[9000] == "utf_8>koi8_r" and got[9001] == "utf_8>gbk"
+
+
 def test_garbled_empty(spark):
     assert encoding.garbled(spark.createDataFrame([], ROW), "row_idx", "plugin", ["source", "dest"]).count() == 0
 
