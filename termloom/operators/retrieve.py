@@ -41,14 +41,16 @@ def contained(kws: DataFrame, terms: DataFrame) -> DataFrame:
     all terms.
     """
     t = terms.filter("term is not null").select("ord", "term", F.lower("term").alias("low"))
-    posted = t.select("ord", "term", "low", F.explode(_grams(F.col("low"))).alias("gram"))
+    # Postings are numbers: terms join again only where a keyword's rarest substring stands.
+    posted = t.select("ord", F.explode(_grams(F.col("low"))).alias("gram"))
     df = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     k = kws.select("keyword").filter("keyword <> ''").distinct().withColumn("klow", F.lower("keyword"))
     size = F.least(F.length("klow"), F.lit(3))
     k = k.select("keyword", "klow", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("klow") - size + 1), lambda i: F.substring("klow", i, size)))).alias("gram"))
     # A gram that no term has rules its keyword out, so its count must survive the join.
     rarest = k.join(df, "gram", "left").groupBy("keyword", "klow").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).filter("r.df > 0").select("keyword", "klow", F.col("r.gram").alias("gram"))
-    return posted.join(rarest, "gram").filter(F.col("low").contains(F.col("klow"))).select("keyword", "ord", "term")
+    hits = posted.join(rarest, "gram").select("ord", "keyword", "klow")
+    return hits.join(t, "ord").filter(F.col("low").contains(F.col("klow"))).select("keyword", "ord", "term")
 
 
 def indexed_glossary(glossary: DataFrame, index: DataFrame, width: int) -> DataFrame:

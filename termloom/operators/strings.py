@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,16 @@ def clear_dest(rows: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
 def coalesce_id(attr_edid: Column, child_edid: Column, attr_id: Column) -> Column:
     """The EDID attribute if present, even empty, else a non-empty EDID child, else the id attribute, else nothing."""
     return F.coalesce(attr_edid, F.when(child_edid != "", child_edid), attr_id, F.lit(""))
+
+
+_RESULT = "row_idx bigint, source string, translation string"
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Results (row_idx, source, translation) added to the table that readers follow; a batch shows whole or not at all."""
+    results.select(F.col("row_idx").cast("bigint"), "source", "translation").write.mode("append").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """All results so far."""
+    return spark.read.schema(_RESULT).parquet(path)

@@ -77,19 +77,29 @@ def top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, width: int
 def _scan(block, width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = block.value
-        best_s = np.full((len(ids), 0), 0.0)
-        best_k = np.zeros((len(ids), 0), np.int64)
+        best_s = np.zeros((len(ids), k)) - np.inf
+        best_k = np.full((len(ids), k), np.iinfo(np.int64).max)
         for b in batches:
             if not b.num_rows:
                 continue
             v = _matrix(b.column(1), width)
             n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.concatenate([best_s, q @ (v / np.where(n > 0, n, 1)).T], axis=1)
-            keys = np.concatenate([best_k, np.broadcast_to(b.column(0).to_numpy(), (len(ids), len(v)))], axis=1)
-            # smaller keys first among equals
-            order = np.lexsort((keys, -np.round(s, 12)), axis=1)[:, :k]
-            best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
-        if best_s.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_k.ravel()), pa.array(best_s.ravel())], names=["query", "key", "score"])
+            u, keys = (v / np.where(n > 0, n, 1)).T, b.column(0).to_numpy()
+            for i in range(0, len(ids), 256):
+                s = np.round(q[i : i + 256] @ u, 12)
+                # what reaches a query's k-th best so far; all of its ties stay in
+                m = min(k, s.shape[1])
+                floor = np.maximum(-np.partition(-s, m - 1, axis=1)[:, m - 1], best_s[i : i + 256, -1])
+                r, c = np.nonzero(s >= floor[:, None])
+                row = np.concatenate([np.repeat(np.arange(len(s)), k), r])
+                score, key = np.concatenate([best_s[i : i + 256].ravel(), s[r, c]]), np.concatenate([best_k[i : i + 256].ravel(), keys[c]])
+                # smaller keys first among equals
+                o = np.lexsort((key, -score, row))
+                at = np.arange(len(o)) - np.searchsorted(row[o], row[o])
+                o = o[at < k]
+                best_s[i : i + 256], best_k[i : i + 256] = score[o].reshape(-1, k), key[o].reshape(-1, k)
+        there = np.isfinite(best_s)
+        if there.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_k[there]), pa.array(best_s[there])], names=["query", "key", "score"])
 
     return run

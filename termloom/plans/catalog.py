@@ -12,8 +12,12 @@ from termloom.operators import glossary as G
 from termloom.operators import qa, retrieve
 from termloom.operators import strings as S
 from termloom.operators import vectors as V
+from termloom import dialogue
 from termloom.plans import oracle
-from termloom.session import table
+from termloom.providers import HashEmbedder, RepeatTranslator, embed_column
+from termloom.session import shared_folder, table
+from termloom.sources import glossary_io, xml
+from termloom.streaming import index_stream
 
 #: Width of the vectors of vector_index.
 WIDTH = 96
@@ -136,9 +140,10 @@ def untranslated_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suspicious_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """(row_idx, fragments): shared words that touch an ideograph."""
-    got = F.array_join(T.suspicious_fragments(F.col("source"), F.col("dest")), ",")
-    return _pairs(spark, d).select("row_idx", got.alias("fragments")).filter("fragments <> ''")
+    """(row_idx, fragments): shared words that touch an ideograph, in translations that repeat the source's second word between ideographs."""
+    p = _pairs(spark, d)
+    glued = F.concat(F.col("source"), F.lit(" "), F.lit("见"), F.coalesce(F.get(T.english_words(F.col("source")), F.lit(1)), F.lit("")), F.lit("。"))
+    return p.select("row_idx", F.array_join(T.suspicious_fragments(F.col("source"), glued), ",").alias("fragments")).filter("fragments <> ''")
 
 
 def retry_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -329,10 +334,73 @@ def index_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_append(spark: SparkSession, d: str) -> DataFrame:
-    """(pos, term): the index with an empty vector appended for every missing term."""
+    """(pos, term, width): the index with a vector appended for every missing term."""
     ix = _index(spark, d)
-    fresh = G.missing_terms(_glossary(spark, d), ix).withColumn("embedding", F.array().cast("array<float>"))
-    return G.append_vectors(ix, fresh).select("pos", "term")
+    fresh = embed_column(G.missing_terms(_glossary(spark, d), ix), "term", HashEmbedder(WIDTH))
+    return G.append_vectors(ix, fresh).select("pos", "term", F.coalesce(F.size("embedding"), F.lit(-1)).alias("width"))
+
+
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """(term, width): an index built by the resumable job; a second run finds nothing to do."""
+    at = shared_folder(spark, "index-build")
+    for _ in range(2):
+        index_stream.build_index(spark, _glossary(spark, d), at, HashEmbedder(WIDTH))
+    return index_stream.read_index(spark, at).select("term", F.coalesce(F.size("embedding"), F.lit(-1)).alias("width"))
+
+
+# -- files --------------------------------------------------------------------
+
+
+def xml_strings(spark: SparkSession, d: str) -> DataFrame:
+    """(id, source, dest): all rows written as XML and read back."""
+    at = shared_folder(spark, "strings-xml")
+    xml.write_strings(_rows(spark, d), at)
+    return xml.read_strings(spark, at).select("id", "source", "dest")
+
+
+def glossary_json(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, term, translation): the glossary written as a JSON object and read back."""
+    at = shared_folder(spark, "glossary-json").removeprefix("file://")
+    glossary_io.write_json(_glossary(spark, d).filter("term is not null"), at)
+    return glossary_io.read_json(spark, at)
+
+
+def glossary_csv(spark: SparkSession, d: str) -> DataFrame:
+    """(term, translation): the glossary written as CSV and imported."""
+    at = shared_folder(spark, "glossary-csv")
+    _glossary(spark, d).filter("term is not null").orderBy("ord").select("term", "translation").write.options(escape='"', quoteAll="true", emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(at)
+    return glossary_io.read_csv(spark, f"{at}/*.csv").select("term", "translation")
+
+
+def index_npy(spark: SparkSession, d: str) -> DataFrame:
+    """(pos, term, first): the vectors of full width written as a matrix with its list of terms, and zipped again."""
+    at = shared_folder(spark, "index-npy").removeprefix("file://")
+    glossary_io.write_npy(_index(spark, d).filter(F.size("embedding") == WIDTH), at + ".npy", at + ".json")
+    return glossary_io.read_npy(spark, at + ".npy", at + ".json").select("pos", "term", F.col("embedding")[0].cast("double").alias("first"))
+
+
+def cleaned_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """(row_idx, keywords): the parts of every id and blanks among them, cleaned."""
+    parts = F.concat(F.split("id", "_"), F.array(F.lit(" x "), F.lit(""), F.lit("X")))
+    return _rows(spark, d).filter("id is not null").select("row_idx", F.array_join(T.clean_keywords(parts), "|").alias("keywords"))
+
+
+# -- exchanges ----------------------------------------------------------------
+
+
+def exchanges(spark: SparkSession, d: str) -> DataFrame:
+    """(source, translation, status, calls): every distinct source through the whole exchange with a model that repeats its input."""
+    got = dialogue.translate_rows(S.dedup_plan(_rows(spark, d)).select("source"), "source", None, RepeatTranslator())
+    return got.select("source", "translation", "status", "calls")
+
+
+def result_feed(spark: SparkSession, d: str) -> DataFrame:
+    """(row_idx, source, translation): results of all rows as a table that grows by whole batches."""
+    at = shared_folder(spark, "result-feed")
+    r = _rows(spark, d)
+    done = dialogue.translate_rows(S.dedup_plan(r).select("source"), "source", None, RepeatTranslator())
+    S.append_results(S.fan_out(r, done), at)
+    return S.read_results(spark, at)
 
 
 def retrieve_tiered(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from termloom.functions import text as T
-
-
 def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-_STOP = _list(T.STOP_WORDS)
-_KEPT = _list(T.KEPT_WORDS)
+# Fixed values, written again so that a change of the library's lists shows.
+_STOP = _list((
+    "the and but for nor yet not are was were has had have his her its our their your you she him they them who whom "
+    "whose what which when where why how this that these those there here with without from into onto upon over "
+    "under after before while until since then than only also just very some any all each every both few more most "
+    "other such did does done can could will would shall should may might must let one two day step note nobody "
+    "please yes"
+).split())
+_KEPT = _list("ok no yes hp mp sp xp npc pc id ui ai mod bug app api url xml json html boss buff debuff dps tank healer pvp pve cm mm kg km gb mb kb".split())
+_LANGUAGES = {'auto': 'auto-detect (LLM decides)', 'en': 'English', 'zh': 'Simplified Chinese', 'zh-Hant': 'Traditional Chinese', 'ja': 'Japanese', 'ko': 'Korean', 'fr': 'French', 'de': 'German', 'es': 'Spanish', 'ru': 'Russian'}
 _BLANK = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]"
 
 
@@ -87,7 +92,7 @@ _BLOCK = f"(SELECT key, '## Glossary' || chr(10) || string_agg('- ' || term || '
 
 
 def _names(x: str) -> str:
-    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGE_NAMES.items()) + f" ELSE {x} END"
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANGUAGES.items()) + f" ELSE {x} END"
 
 
 _CODE = r"""CASE regexp_extract(coalesce(text, ''), '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}]') WHEN '' THEN 'en' ELSE
@@ -115,7 +120,7 @@ def _sql() -> dict[str, str]:
         "parse_keywords": r"""SELECT row_idx, CASE WHEN row_idx % 3 = 2 THEN '' ELSE regexp_replace(id, '["\\]', '', 'g') || '|B' END AS keywords FROM string_rows WHERE id IS NOT NULL""",
         "likely_untranslated": f"SELECT row_idx, coalesce({flagged}, false) AS flagged FROM {_PAIRS}",
         "untranslated_fragments": f"SELECT row_idx, array_to_string({frags}, ',') AS fragments FROM {_PAIRS}",
-        "suspicious_fragments": f"SELECT * FROM (SELECT row_idx, array_to_string(list_filter({frags}, {touch}), ',') AS fragments FROM {_PAIRS}) WHERE fragments <> ''",
+        "suspicious_fragments": f"SELECT * FROM (SELECT row_idx, array_to_string(list_filter({_fragments('source', 'dest')}, {touch}), ',') AS fragments FROM (SELECT row_idx, source, source || ' 见' || coalesce({_words('source')}[2], '') || '。' AS dest FROM {_PAIRS})) WHERE fragments <> ''",
         "retry_decision": f"SELECT decision, count(*) AS n_rows FROM (SELECT CASE WHEN NOT {flagged} AND len({frags}) = 0 THEN 'accept' WHEN attempt >= 2 THEN 'exhausted' WHEN {flagged} THEN 'retry_generic' ELSE 'retry_fragments' END AS decision FROM {_PAIRS}) GROUP BY decision",
         "named_fragments": f"SELECT * FROM (SELECT row_idx, array_to_string({frags}[1:5], ', ') AS named FROM {_PAIRS}) WHERE named <> ''",
         "display_strings": "SELECT ord, term || ' -> ' || coalesce(translation, '') AS shown, string_split(term || ' -> ' || coalesce(translation, ''), ' -> ')[1] AS term_back FROM glossary",
@@ -149,7 +154,15 @@ def _sql() -> dict[str, str]:
           SELECT count(ord) AS n_terms, coalesce(sum(n), 0)::BIGINT AS n_entries, count(*) FILTER (n IS NULL) AS n_missing, count(*) FILTER (ord IS NULL) AS n_orphans, count(*) FILTER (n > 1) AS n_repeated,
           (SELECT count(*) FILTER (coalesce(len(embedding), -1) <> 96) FROM vector_index) AS n_other_width FROM j""",
         "index_delete": "SELECT pos, term FROM vector_index WHERE pos NOT IN (SELECT min(pos) FROM vector_index WHERE term IS NOT NULL GROUP BY term HAVING count(*) > 1)",
-        "index_append": f"SELECT pos, term FROM vector_index UNION ALL SELECT (SELECT max(pos) + 1 FROM vector_index) + ord - (SELECT min(ord) FROM {_MISSING}), term FROM {_MISSING}",
+        "index_append": f"SELECT pos, term, coalesce(len(embedding), -1)::INT AS width FROM vector_index UNION ALL SELECT (SELECT max(pos) + 1 FROM vector_index) + ord - (SELECT min(ord) FROM {_MISSING}), term, 96 FROM {_MISSING}",
+        "index_build": "SELECT term, 96 AS width FROM glossary WHERE term IS NOT NULL",
+        "xml_strings": "SELECT coalesce(id, '') AS id, coalesce(source, '') AS source, coalesce(dest, '') AS dest FROM string_rows",
+        "glossary_json": "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, term, translation FROM glossary WHERE term IS NOT NULL",
+        "glossary_csv": f"SELECT t AS term, arg_max(coalesce({_strip('translation')}, ''), ord) AS translation FROM (SELECT *, {_strip('term')} AS t FROM glossary WHERE term IS NOT NULL) GROUP BY t",
+        "index_npy": "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, term, embedding[1]::DOUBLE AS first FROM vector_index WHERE len(embedding) = 96",
+        "cleaned_keywords": f"SELECT row_idx, array_to_string({_distinct_ci('k')}, '|') AS keywords FROM (SELECT row_idx, list_filter(list_transform(list_concat(string_split(id, '_'), [' x ', '', 'X']), lambda w: {_strip('w')}), lambda w: w <> '') AS k FROM string_rows WHERE id IS NOT NULL)",
+        "exchanges": f"SELECT source, CASE WHEN {_strip('source')} = '' THEN '' ELSE source END AS translation, CASE WHEN {_strip('source')} = '' THEN 'blank' ELSE 'exhausted' END AS status, CASE WHEN {_strip('source')} = '' THEN 0 ELSE 3 END AS calls FROM {_PLAN}",
+        "result_feed": f"SELECT row_idx, source, CASE WHEN {_strip('source')} = '' THEN '' ELSE source END AS translation FROM {_TR}",
         "retrieve_tiered": f"SELECT kw_id, slot::INT AS slot, term, tier, round(score, 6) AS score FROM {_TIERED}",
         "retrieved_terms": f"SELECT term, translation, count(*) AS n_keywords FROM {_TIERED} GROUP BY term, translation",
         "mention_priority": f"SELECT key, term, mentioned, place::INT AS place FROM {_MENTION}",

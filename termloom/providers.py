@@ -56,6 +56,15 @@ class EchoTranslator:
         return json.dumps({"translation": messages[-1]["content"]}, ensure_ascii=False)
 
 
+class RepeatTranslator:
+    """Replies with the text itself, however often it is asked."""
+
+    def complete(self, messages: list[dict[str, str]]) -> str:
+        import json
+
+        return json.dumps({"translation": next(m["content"] for m in messages if m["role"] == "user")}, ensure_ascii=False)
+
+
 def backoff(attempt: int, base: float = 0.5, jitter: float = 0.1, rnd: Callable[[], float] = random.random) -> float:
     """Seconds before the retry after ``attempt`` (from 1): doubling, plus up to a tenth."""
     delay = base * 2 ** (attempt - 1)
@@ -115,3 +124,60 @@ def translate_column(df: DataFrame, messages: str, translator: Translator, paral
             yield b.assign(response=got, error=err)
 
     return df.mapInPandas(run, schema)
+
+
+class HttpClient:
+    """Embeddings and chat of a service with the common JSON interface (``/embeddings``, ``/chat/completions``).
+
+    ``send(url, headers, body)`` gives (status, reply); the default posts by
+    urllib. Statuses 408, 409, 429 and from 500, and broken connections, are
+    transient and repeated. ``fallback`` serves where this client has no key.
+    """
+
+    def __init__(self, base_url: str, key: str, model: str, parameters: dict[str, Any] | None = None, max_retries: int = 3, base: float = 0.5, send: Callable[[str, dict, dict], tuple[int, dict]] | None = None, sleep: Callable[[float], None] = time.sleep, fallback: HttpClient | None = None) -> None:
+        self.base_url, self.key, self.model, self.parameters = base_url.rstrip("/"), key, model, parameters
+        self.max_retries, self.base, self.send, self.sleep, self.fallback = max_retries, base, send or _post, sleep, fallback
+
+    def _call(self, path: str, body: dict[str, Any], retries: int) -> dict[str, Any]:
+        if not self.key:
+            raise ValueError("a client without a key")
+
+        def once() -> dict[str, Any]:
+            status, reply = self.send(self.base_url + path, {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}, body)
+            if status in (408, 409, 429) or status >= 500:
+                raise TransientError(f"status {status}")
+            if status >= 400:
+                raise ValueError(f"status {status}: {reply}")
+            return reply
+
+        return with_retry(once, retries, self.base, self.sleep)
+
+    def complete(self, messages: list[dict[str, str]], **overrides: Any) -> str:
+        """The reply to chat messages; overrides go over the stored parameters."""
+        if not self.key and self.fallback:
+            return self.fallback.complete(messages, **overrides)
+        body = {"model": self.model, "messages": messages} | merge_params(self.parameters, **overrides)
+        return self._call("/chat/completions", body, self.max_retries)["choices"][0]["message"]["content"]
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        """A vector for each text, one request each and without repeats; null where it failed."""
+        out: list[list[float] | None] = []
+        for t in texts:
+            try:
+                out.append(self._call("/embeddings", {"model": self.model, "input": t}, 0)["data"][0]["embedding"])
+            except Exception:
+                out.append(None)
+        return out
+
+
+def _post(url: str, headers: dict, body: dict) -> tuple[int, dict]:
+    import json
+    from urllib import error, request
+
+    try:
+        with request.urlopen(request.Request(url, json.dumps(body).encode(), headers), timeout=120) as r:
+            return r.status, json.loads(r.read())
+    except error.HTTPError as e:
+        return e.code, {"error": e.read().decode("utf-8", "replace")}
+    except (error.URLError, TimeoutError) as e:
+        raise TransientError(str(e)) from e

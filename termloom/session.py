@@ -52,6 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIRS[0]
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    parent = os.path.dirname(path.removeprefix("file://"))
+    if path.startswith("file:") or os.path.isdir(os.path.dirname(parent)):
+        os.makedirs(parent, exist_ok=True)
+    atexit.register(_drop, path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -59,18 +69,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     columns, so later reads prune them; losing an executor loses nothing.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    atexit.register(_drop, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _drop(path: str) -> None:
-    """Remove a written step when the process ends, where it is a plain folder."""
-    if path.startswith("file:"):
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-    elif os.path.isdir(path):
-        shutil.rmtree(path, ignore_errors=True)
+    """Remove a written step when the process ends, where it is a plain folder or file."""
+    at = path.removeprefix("file://")
+    for x in (at, at + ".npy", at + ".json"):
+        if os.path.isdir(x):
+            shutil.rmtree(x, ignore_errors=True)
+        elif os.path.exists(x):
+            os.remove(x)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

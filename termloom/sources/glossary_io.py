@@ -58,11 +58,20 @@ def _by_path():
 
 
 def write_npy(index: DataFrame, vectors_path: str, terms_path: str) -> None:
-    """An index (pos, term, embedding) of one width as a float32 matrix and a JSON list of terms."""
-    p = index.orderBy("pos").select("term", "embedding").toPandas()
-    np.save(vectors_path, np.stack(p["embedding"].to_numpy()).astype(np.float32) if len(p) else np.zeros((0, 0), np.float32))
+    """An index (pos, term, embedding) of one width as a float32 matrix and a JSON list of terms, row by row: never all of it in memory."""
+    n, width = index.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n:
+        m = np.lib.format.open_memmap(vectors_path, "w+", np.float32, (n, max(width, 0)))
+    else:
+        np.save(vectors_path, np.zeros((0, 0), np.float32))
     with open(terms_path, "w", encoding="utf-8") as f:
-        json.dump(p["term"].tolist(), f, ensure_ascii=False, indent=4)
+        f.write("[")
+        for i, r in enumerate(index.orderBy("pos").select("term", "embedding").toLocalIterator()):
+            m[i] = r.embedding
+            f.write((",\n    " if i else "\n    ") + json.dumps(r.term, ensure_ascii=False))
+        f.write("\n]\n")
+    if n:
+        m.flush()
 
 
 def read_npy(spark: SparkSession, vectors_path: str, terms_path: str | None, glossary: DataFrame | None = None) -> DataFrame:

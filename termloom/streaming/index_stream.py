@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termloom.operators.glossary import missing_terms
 from termloom.providers import Embedder, embed_column
+from termloom.session import cut
 
 _SCHEMA = "pos bigint, term string, embedding array<float>"
 
@@ -35,8 +36,10 @@ def build_index(spark: SparkSession, glossary: DataFrame, path: str, embedder: E
     if low is None:
         return 0
     new = embed_column(todo, "term", embedder, parallel=parallel).filter("embedding is not null")
-    new.select((F.lit(base) + F.col("ord") - F.lit(low)).alias("pos"), "term", "embedding").write.mode("append").parquet(path)
-    return read_index(spark, path).count() - index.count() if base == 0 else read_index(spark, path).filter(F.col("pos") >= base).count()
+    # Embedded once: the written batch is counted and appended.
+    batch = cut(new.select((F.lit(base) + F.col("ord") - F.lit(low)).alias("pos"), "term", "embedding"), "index-batch")
+    batch.write.mode("append").parquet(path)
+    return batch.count()
 
 
 def stream_index(entries: DataFrame, path: str, checkpoint: str, embedder: Embedder) -> StreamingQuery:
