@@ -245,19 +245,24 @@ _STEMS = {
 }
 
 
-def _stem_pattern(langs: list[str]) -> str:
-    """One plain alternation, without flags, over lower-case text."""
-    stems = sorted({x.lower() for lang in langs for x in _STEMS[lang].split(",")})
-    short = [x for x in stems if len(x) == 2 and x.isalpha() and (x.isascii() or x == "ии")]
-    return "|".join([re.escape(x) for x in stems if x not in short] + [rf"(?<!\p{{L}}){x}(?![a-zа-я])" for x in short])
+def _any_stem(low: Column, langs: list[str]) -> Column:
+    """Whether lower-case text holds a stem: plain searches, and one expression for stems of two letters, which must stand alone."""
+    stems = {x.lower() for lang in langs for x in _STEMS[lang].split(",")}
+    short = sorted(x for x in stems if len(x) == 2 and x.isalpha() and (x.isascii() or x == "ии"))
+    # a stem that holds another one adds nothing
+    plain = sorted(x for x in stems - set(short) if not any(y != x and y in x for y in stems - set(short)))
+    out = low.rlike(rf"(?<!\p{{L}})(?:{'|'.join(short)})(?![a-zа-я])") if short else F.lit(False)
+    for x in plain:
+        out = out | low.contains(x)
+    return out
 
 
 def _long_refusal(text: Column, low: Column) -> Column:
     out = F.lit(False)
     for lang, (a, b) in _DECLINE.items():
         # both in one sentence or its neighbour
-        out = out | low.rlike(_stem_pattern([lang])) & text.rlike(f"(?iu)(?:{a})[\\s\\S]{{0,90}}(?:{b})|(?:{b})[\\s\\S]{{0,90}}(?:{a})")
-    return low.rlike(_stem_pattern(list(_DECLINE))) & out
+        out = out | _any_stem(low, [lang]) & text.rlike(f"(?iu)(?:{a})[\\s\\S]{{0,90}}(?:{b})|(?:{b})[\\s\\S]{{0,90}}(?:{a})")
+    return _any_stem(low, list(_DECLINE)) & out
 
 
 def _refusal(text: Column, low: Column) -> Column:
