@@ -15,26 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest markup or placeholder that is kept whole.
-MARKUP_CHARS = 80
-
+from termloom.session import cut, small_side
 
 def _pattern(step: Column, overlap: Column) -> Column:
-    """The cutting expression for cores of at most ``step`` characters."""
-    n, o, half = step.cast("string"), overlap.cast("string"), F.greatest(F.lit(1), (step / 2).cast("int")).cast("string")
-    m = MARKUP_CHARS
-    inside = rf"[^<>\[\]{{}}]{{0,{m}}}[>\]}}]"
+    """The cutting expression for cores of at most ``step`` characters; markup and placeholders of up to ``step`` stay whole."""
+    inside = r"[^<>\[\]{}]{0,@n}[>\]}]"
     # not inside markup here, and not where the overlap of the next piece begins
-    ok_here = rf"(?<![<\[{{][^<>\[\]{{}}]{{0,{m}}}(?={inside}))"
-    ok_back = F.when(overlap > 0, F.concat(F.lit(rf"(?<![<\[{{][^<>\[\]{{}}]{{0,{m}}}(?={inside})[\s\S]{{"), o, F.lit("})"))).otherwise(F.lit(""))
+    ok_here = rf"(?<![<\[{{][^<>\[\]{{}}]{{0,@n}}(?={inside}))"
+    ok_back = rf"(?<![<\[{{][^<>\[\]{{}}]{{0,@n}}(?={inside})[\s\S]{{@o}})"
     mark = r"(?!\p{M})"
     strong = [r"(?<=\n\s{0,3}\n|\[pagebreak\]\n?)", r"(?<=\n)", r"(?<=[.!?…][\"'”’»)\]]{0,2}\s|[。！？][”」』）]{0,2}|[।॥]\s)(?![”」』）])", r"(?<=[,;:—]\s|[，；、：])", r"(?<=\s)(?=\S)"]
-    parts: list = [r".{1,", n, r"}\z|"]
-    for b in strong:
-        parts += [r".{", half, ",", n, "}", b, ok_here, ok_back, mark, "|"]
-    parts += [r".{1,", n, r"}(?<=\s)(?=\S)", ok_here, ok_back, "|", r".{1,", n, "}", ok_here, ok_back, mark, "|", r".{1,", n, "}", mark, "|", r".{1,", n, "}"]
-    out = ["(?s)(?:", *parts, ")"]
-    return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in out])
+    parts = [r".{1,@n}\z", *(".{@h,@n}" + b + ok_here + "@b" + mark for b in strong), r".{1,@n}(?<=\s)(?=\S)" + ok_here + "@b", ".{1,@n}" + ok_here + "@b" + mark, ".{1,@n}" + mark, ".{1,@n}"]
+    out = F.replace(F.lit("(?s)(?:" + "|".join(parts) + ")"), F.lit("@b"), F.when(overlap > 0, ok_back).otherwise(""))
+    for k, v in {"@n": step, "@o": overlap, "@h": F.greatest(F.lit(1), (step / 2).cast("int"))}.items():
+        out = F.replace(out, F.lit(k), v.cast("string"))
+    return out
 
 
 def split_items(df: DataFrame, limits: DataFrame, key: str, text: str, provider: str) -> DataFrame:
@@ -58,9 +53,13 @@ def split_items(df: DataFrame, limits: DataFrame, key: str, text: str, provider:
     lim = lim.withColumn("_over", F.greatest(F.lit(0), F.least(F.col("_o"), (F.col("_max") / 2).cast("int"))))
     # The expression depends on the limits alone: it is put together once per limit, not per item.
     lim = lim.withColumn("_cut", _pattern(F.col("_max") - F.col("_over"), F.col("_over")))
-    one = lim.agg(F.map_from_entries(F.collect_list(F.struct("_p", F.struct("_max", "_over", "_cut")))).alias("_rules"))  # one row
+    lim = cut(lim.select("_p", F.struct("_max", "_over", "_cut").alias("_r")), "split-limits")
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.coalesce(F.col(provider), F.lit("*")).alias("_p")).filter(F.length("_t") > 0)
-    rows = rows.join(F.broadcast(one)).withColumn("_r", F.coalesce(F.element_at("_rules", F.col("_p")), F.element_at("_rules", F.lit("*")))).select("_k", "_t", "_r")
+    rows = rows.join(small_side(lim), "_p", "left")
+    star = lim.filter("_p = '*'").first()
+    if star:
+        rows = rows.withColumn("_r", F.coalesce("_r", F.struct(*[F.lit(star["_r"][c]).alias(c) for c in ("_max", "_over", "_cut")])))
+    rows = rows.select("_k", "_t", "_r")
     large = F.length("_t") > F.col("_r._max")
     # The first piece has no overlap, so its core might take the whole limit; it is cut like the others to keep one pattern.
     cores = F.when(large, F.regexp_extract_all("_t", F.col("_r._cut"), F.lit(0))).otherwise(F.array("_t"))

@@ -113,6 +113,15 @@ def test_split_invariants(spark):
         assert (len(got[k]) > 1) == (len(t) > m)
 
 
+def test_long_markup_stays_whole(spark):
+    tag = "<font color='#aa1122' face='" + "Old Script " * 14 + "'>"
+    text = ("some words of a page and " * 4 + tag) * 6
+    df = spark.createDataFrame([(1, text, "a")], "k bigint, t string, p string")
+    got = splitting.split_items(df, spark.createDataFrame([("a", 400, 40)], "provider string, max_chars int, overlap_chars int"), "k", "t", "p").orderBy("piece").collect()
+    assert "".join(r.text[r.overlap :] for r in got) == text and len(got) > 3 and all(len(r.text) <= 400 for r in got)
+    assert sum(r.text.count(tag) for r in got) >= 6 and all(r.text.count("<") == r.text.count(">") for r in got)
+
+
 # -- 3 ------------------------------------------------------------------------
 
 
