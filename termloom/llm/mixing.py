@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,19 +24,18 @@ from pyspark.sql.window import Window
 
 from termloom.session import cut
 
-#: Vocabulary file of a public tokenizer (ranks of byte pairs).
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pattern of words in that vocabulary's format; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest stretch that goes to the tokenizer at once; texts are cut before a blank that follows a letter.
+#: Stretch that goes to the tokenizer at once, if the text has a place there where the pattern always parts words.
 _PART = 100_000
 
 
-def _counter(path: str):
+def _counter(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -46,22 +46,24 @@ def _counter(path: str):
 
 
 def _parts(t: str) -> Iterator[str]:
+    """Stretches whose tokens are those of the whole: a cut stands between a letter and what is no letter or digit, where words always part."""
+    free = lambda i: t[i - 1].isalpha() and not t[i].isalnum()
     at = 0
     while at < len(t):
         end = min(len(t), at + _PART)
         if end < len(t):
-            # a word takes the blank before it, so a cut there doesn't change tokens
-            i = end
-            while i > at + 1 and not (t[i] == " " and t[i - 1].isalpha()):
-                i -= 1
-            end = i if i > at + 1 else end
+            # the last such place before the end, else the first one after it
+            i = next((i for i in range(end, at + 1, -1) if free(i)), None) or next((i for i in range(end + 1, len(t)) if free(i)), len(t))
+            end = i
         yield t[at:end]
         at = end
 
 
-def count_tokens(df: DataFrame, key: str, source: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, source, tokens) of every document with a text."""
-    return df.select(F.col(key).cast("bigint").alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).filter("text is not null and text <> ''").mapInArrow(_counter(vocabulary), "key bigint, source string, tokens bigint")
+def count_tokens(df: DataFrame, key: str, source: str, text: str, vocabulary: str) -> DataFrame:
+    """(key, source, tokens) of every document with a text; the ``vocabulary`` file goes to all executors."""
+    sc = df.sparkSession.sparkContext
+    sc.addFile(vocabulary)
+    return df.select(F.col(key).cast("bigint").alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).filter("text is not null and text <> ''").mapInArrow(_counter(os.path.basename(vocabulary)), "key bigint, source string, tokens bigint")
 
 
 def _rate(x: Column, lam: Column, base: Column, cap: Column) -> Column:
@@ -70,7 +72,7 @@ def _rate(x: Column, lam: Column, base: Column, cap: Column) -> Column:
     return cap / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(60.0)), F.lit(-60.0))))
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, text: str, vocabulary: str = VOCABULARY, total: float | None = None, steps: int = 40, slack: float = 0.02) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, text: str, vocabulary: str, total: float | None = None, steps: int = 40, slack: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """(drawn, shares).
 
     ``targets`` holds (source, target_share, max_repeats), a small table that
@@ -79,7 +81,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, text: str, v
     tokens available and drawn, actual share, documents drawn and most
     copies. ``total`` is the size of the mix in tokens; without it, the size
     of the corpus or, if less, the largest mix that every source can fill
-    within its cap, less ``slack``.
+    within its cap, less ``slack``. A larger ``total`` than that is an error.
+    ``vocabulary`` is a public tokenizer's file of byte pairs and ranks.
 
     Documents without text, without a source or of a source without a target
     are not drawn; a source with a target but no documents has none drawn and
@@ -99,7 +102,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, text: str, v
     whole = sum(v[0] for v in live.values())
     share = {s: v[0] / whole for s, v in live.items()}
     most = min(live[s][1] * have[s][1] / share[s] for s in live)
-    size = min(sum(t for _, t in have.values()), most * (1 - slack)) if total is None else min(total, most * (1 - slack))
+    if total is not None and total > most:
+        raise ValueError(f"a mix of {total:.0f} tokens: the sources fill {most:.0f} at most within their caps")
+    size = min(sum(t for _, t in have.values()), most * (1 - slack)) if total is None else total
     goal = {s: share[s] * size for s in live}
     base = {s: min(size / sum(t for _, t in have.values()), 0.5 * live[s][1]) for s in live}
     mean = {s: have[s][1] / have[s][0] for s in live}

@@ -139,18 +139,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir, slack=0).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text")
+#: Vocabulary of a public tokenizer; another path may be given.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
-def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mixed(spark: SparkSession, sf_dir: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "text", vocabulary)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The drawn documents with their copies."""
-    return _mixed(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+    return _mixed(spark, sf_dir, vocabulary)[0].withColumnRenamed("key", "doc_id")
 
 
-def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p9_shares(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Target and actual share of every source."""
-    return _mixed(spark, sf_dir)[1]
+    return _mixed(spark, sf_dir, vocabulary)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

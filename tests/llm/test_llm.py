@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.llm import charlm, copies, encoding, forms, leaks, mixing, neighbours, pairs, sentences, splitting
+from termloom.llm.queries import VOCABULARY
 
 ROW = "row_idx bigint, plugin string, source string, dest string"
 
@@ -450,18 +451,29 @@ def test_mix(spark):
     random.seed(9)
     rows = [(i, " ".join(["word"] * random.randint(5, 200)), random.choice("aabc")) for i in range(3000)] + [(9000, None, "a"), (9001, "", "b"), (9002, "x y", None), (9003, "x", "other")]
     t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 4), ("c", 0.2, 1), ("gone", 0.0, 3)], "source string, target_share double, max_repeats int")
-    drawn, shares = mixing.mix(spark.createDataFrame(rows, "d bigint, t string, s string"), t, "d", "s", "t")
+    drawn, shares = mixing.mix(spark.createDataFrame(rows, "d bigint, t string, s string"), t, "d", "s", "t", VOCABULARY)
     cap = {"a": 2, "b": 4, "c": 1}
     assert all(0 < r.copies <= cap[r.source] for r in drawn.collect())
     for r in shares.collect():
         assert abs(r.actual_share - r.target_share) < 0.005 and r.most_copies <= r.max_repeats
-    empty, none = mixing.mix(spark.createDataFrame([], "d bigint, t string, s string"), t, "d", "s", "t")
+    empty, none = mixing.mix(spark.createDataFrame([], "d bigint, t string, s string"), t, "d", "s", "t", VOCABULARY)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame(rows, "d bigint, t string, s string"), t, "d", "s", "t", VOCABULARY, total=1e9)
     assert empty.count() == 0 and none.count() == 4
 
 
-def test_parts_keep_tokens():
-    t = ("some words here " * 20000)[:250_000]
-    assert "".join(mixing._parts(t)) == t and max(map(len, mixing._parts(t))) <= 100_000
+def test_parts_keep_tokens(monkeypatch):
+    import base64
+
+    import tiktoken
+
+    with open(VOCABULARY, "rb") as f:
+        enc = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    monkeypatch.setattr(mixing, "_PART", 50)
+    random.seed(19)
+    for t in ["some words here " * 40, "x" * 300, "字字。" * 60, "12345 " * 40, "".join(random.choices("ab 'é字.1\n", k=600)), "a" * 70 + "'s " + "b" * 70]:
+        assert "".join(mixing._parts(t)) == t
+        assert sum(len(enc.encode_ordinary(x)) for x in mixing._parts(t)) == len(enc.encode_ordinary(t))
 
 
 # -- 10 -----------------------------------------------------------------------
