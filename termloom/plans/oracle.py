@@ -101,6 +101,16 @@ _CODE = r"""CASE regexp_extract(coalesce(text, ''), '[\x{4e00}-\x{9fff}\x{3040}-
   WHEN regexp_matches(regexp_extract(text, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}]'), '[\x{ac00}-\x{d7af}]') THEN 'ko' ELSE 'ru' END END"""
 
 
+_REPLY = f"(SELECT row_idx, source, dest, {_strip("regexp_replace(dest, '```(json)?', '', 'g')")} AS r, regexp_extract(dest, '(?s)\\{{.*\\}}') AS inside FROM {_PAIRS})"
+# Where every token starts, and where the eighth one's letters are first found.
+_SPANS = f"""(SELECT *, list_transform(range(1, len(t) + 1), lambda i: coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x))), 0)) AS s,
+  CASE WHEN length(t[8]) >= 2 AND contains(lower(text), lower(t[8])) THEN strpos(lower(text), lower(t[8])) - 1 END AS pos
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{_TOKEN}') AS t, regexp_split_to_array(text, '{_TOKEN}') AS g FROM documents WHERE text IS NOT NULL))"""
+_EXCERPT = f"""SELECT doc_id, CASE WHEN n <= 12 THEN text ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || text[a + 1:b] || CASE WHEN b < length(text) THEN '…' ELSE '' END END AS excerpt FROM (
+  SELECT *, s[first + 1]::BIGINT AS a, (s[first + 12] + length(t[first + 12]))::BIGINT AS b FROM (
+  SELECT *, least(greatest(CASE WHEN pos IS NULL THEN 0 ELSE greatest(len(list_filter(s, lambda x: x <= pos)) - 1, 0) - 4 END, 0), n - 12) AS first FROM (SELECT *, len(t) AS n FROM {_SPANS})))"""
+
+
 def _sql() -> dict[str, str]:
     flagged, frags = _untranslated("source", "dest"), _fragments("source", "dest")
     touch = rf"lambda w: regexp_matches(lower(dest), '{_CJK}' || w || '([^a-z]|\z)') OR regexp_matches(lower(dest), '([^a-z]|\A)' || w || '{_CJK}')"
@@ -115,6 +125,8 @@ def _sql() -> dict[str, str]:
         "detect_language": f"SELECT doc_id, code, {_names('code')} AS language FROM (SELECT doc_id, {_CODE} AS code FROM documents)",
         "language_names": f"SELECT lang, {_names('lang')} AS language, count(*) AS n_docs FROM documents GROUP BY lang",
         "token_count": f"SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}'))::INT AS n_tokens FROM documents WHERE text IS NOT NULL",
+        "truncate_reference": _EXCERPT,
+        "parse_translation": f"SELECT row_idx, CASE WHEN starts_with(r, '{{') AND json_valid(r) THEN coalesce(json_extract_string(r, '$.translation'), source) WHEN inside <> '' AND json_valid(inside) THEN coalesce(json_extract_string(inside, '$.translation'), {_strip('dest')}) ELSE {_strip('dest')} END AS parsed FROM {_REPLY}",
         "find_anchor": "SELECT doc_id, (CASE WHEN text IS NULL THEN NULL WHEN contains(lower(text), 'iron sword') THEN strpos(lower(text), 'iron sword') - 1 WHEN contains(lower(text), 'the') THEN strpos(lower(text), 'the') - 1 END)::INT AS at FROM documents",
         "template_vars": """SELECT row_idx, replace(replace(replace('To {lang}: {text} {"keep": "{x}"} by {who}', '{lang}', 'Chinese'), '{text}', source), '{who}', coalesce(provider, '')) AS prompt FROM string_rows WHERE source IS NOT NULL""",
         "parse_keywords": r"""SELECT row_idx, CASE WHEN row_idx % 3 = 2 THEN '' ELSE regexp_replace(id, '["\\]', '', 'g') || '|B' END AS keywords FROM string_rows WHERE id IS NOT NULL""",
@@ -171,9 +183,7 @@ def _sql() -> dict[str, str]:
     }
 
 
-#: Queries that SQL doesn't express: offsets of tokens, JSON of unknown shape. Tests hold them against plain Python.
-WITHOUT_SQL = ("truncate_reference", "parse_translation")
-NAMES = (*_sql(), *WITHOUT_SQL)
+NAMES = tuple(_sql())
 
 
 def sql() -> dict[str, str]:
