@@ -239,7 +239,8 @@ def suspicious_fragments(source: Column, translation: Column) -> Column:
     """Untranslated fragments that touch an ideograph in the translation."""
     low = F.lower(translation)
     c = r"[\x{4e00}-\x{9fff}]"
-    return F.filter(untranslated_fragments(source, translation), lambda w: F.regexp_like(low, F.concat(F.lit(rf"{c}"), w, F.lit("(?![a-z])"))) | F.regexp_like(low, F.concat(F.lit("(?<![a-z])"), w, F.lit(c))))
+    touching = [F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (rf"(?<={c})[a-z]+", rf"(?<![a-z])[a-z]+(?={c})")]
+    return F.array_intersect(untranslated_fragments(source, translation), F.concat(*touching))
 
 
 def display_string(term: Column, translation: Column) -> Column:
