@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from termloom.session import cut, small_side
 
-#: Bytes of keys up to which a bucket's trie is built at once: it stays within a core's cache.
-BUCKET_BYTES = 1 << 20
+#: Bytes of keys up to which a bucket is not split: they stay within the second-level cache of a core.
+BUCKET_BYTES = 1 << 18
 #: Bytes by which an oversized bucket is split, beyond what its keys share.
 RADIX_STEP = 2
 #: Bytes of one trie edge.
