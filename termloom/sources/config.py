@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable
 from typing import Any
 
+# The settings that exist and what they are unless a file says otherwise.
 DEFAULTS: dict[str, Any] = {
     "general": {"language": "en", "log_level": "INFO"},
     "llm": {"max_retries": 3, "backoff_base": 0.5, "parameters": {}},
