@@ -90,7 +90,7 @@ def _unpack(cells: list[bytes] | pa.Array) -> np.ndarray:
 def _projections(n: int) -> tuple[int, int]:
     """(trees, bits) for ``n`` nodes: a code holds about half a block, and orders multiply with log n since each separates more."""
     bits = max(4, math.ceil(math.log2(max(n, 1) / BLOCK * 2)))
-    return max(4, bits - 2), bits
+    return max(4, bits), bits
 
 
 def _packer(trees: int, bits: int, width: int, seed: int):
@@ -403,7 +403,7 @@ def _graph(placed: DataFrame, cells: DataFrame, k: int, delta: float) -> DataFra
     return graph
 
 
-def knn_graph(nodes: DataFrame, width: int, k: int = 12, delta: float = 0.002, trees: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
+def knn_graph(nodes: DataFrame, width: int, k: int = 12, delta: float = 0.001, trees: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
     """(a, b, sim): about the ``k`` nearest nodes of every node of ``nodes`` (key, v), similarities from int8 vectors.
 
     Rounds go on until at most a share ``delta`` of all edges is new; lists
@@ -446,7 +446,7 @@ def _exact_lists(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_k: int = 12) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_k: int = 16) -> DataFrame:
     """(key, other, cosine, rank): the ``k`` most similar others of every vector of ``width`` numbers.
 
     Vectors of another width, null, empty, with nulls or not finite, and
@@ -459,7 +459,7 @@ def nearest(df: DataFrame, key: str, vector: str, width: int, k: int = 5, graph_
     nodes, members = distinct_vectors(vectors)
     nodes, members = cut(nodes, "knn-nodes"), cut(members, "knn-members")
     placed, cells = _placed(nodes, width, None, None, 7)
-    lists = cut(_graph(placed, cells, graph_k, 0.002).join(cells, "a"), "knn-lists")
+    lists = cut(_graph(placed, cells, graph_k, 0.001).join(cells, "a"), "knn-lists")
     need = lists.select("cell", F.explode(F.concat("b", F.array("a"))).alias("m")).distinct().join(nodes.withColumnRenamed("key", "m"), "m").select(F.col("cell").alias("to"), "m", "v")
     sims = lists.groupBy("cell").cogroup(need.groupBy("to")).applyInArrow(_exact_lists(k + 1), "a bigint, b bigint, sim double")
     by_node = sims.unionByName(nodes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("sim")))
