@@ -56,3 +56,16 @@ def test_few_candidates_for_keywords_of_hot_substrings(spark, monkeypatch):
     assert retrieve.contained(spark.createDataFrame([("garmor",), ("belgar",), ("morbelgarbel",)], "keyword string"), terms).count() == 0
     low = [r.term for r in terms.collect()]
     assert sum(r.gram in x for r in met[0].collect() for x in low) == 0
+
+
+def test_mentions_do_not_broadcast_the_glossary(spark, names):
+    _, g = names
+    texts = spark.range(30).select(F.col("id").alias("key"), F.concat(F.lit("the ORDER OF garbelgar "), F.col("id")).alias("text"))
+    # "7" is mentioned by the text of key 7 only; a term of 100 characters takes no part.
+    matched = spark.range(30).select(F.col("id").alias("key"), F.explode(F.array(F.lit("Order of Garbelgar 7"), F.lit("Order of Garbelgar 399"), F.lit("x" * 100))).alias("term"), F.lit(1).alias("first"))
+    got = retrieve.mentions(texts, matched, g)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    glossary = next(x for x in plan.splitlines() if "FileScan" in x)
+    assert "SortMergeJoin [term" in plan and glossary
+    rows = sorted((r.key, r.ord, r.mentioned, r.place) for r in got.collect())
+    assert rows == sorted((k, o, o == 7 and k == 7, i + 1) for k in range(30) for i, o in enumerate((7, 399)))
