@@ -69,3 +69,14 @@ def test_mentions_do_not_broadcast_the_glossary(spark, names):
     assert "SortMergeJoin [term" in plan and glossary
     rows = sorted((r.key, r.ord, r.mentioned, r.place) for r in got.collect())
     assert rows == sorted((k, o, o == 7 and k == 7, i + 1) for k in range(30) for i, o in enumerate((7, 399)))
+
+
+def test_tiers_do_not_broadcast_postings(spark, names, monkeypatch):
+    _, g = names
+    seen = []
+    real = retrieve.contained
+    monkeypatch.setattr(retrieve, "contained", lambda *a: seen.append(real(*a)) or seen[-1])
+    kws = spark.createDataFrame([(7, "Garbelgar 7", [1.0, 0.0])], "kw_id bigint, keyword string, embedding array<float>")
+    got = retrieve.tiered(kws, g, 2)
+    assert unmeasured(seen[0]) == []
+    assert [r.term for r in got.orderBy("slot").collect()][:3] == ["Order of Garbelgar 7", "Order of Garbelgar 70", "Order of Garbelgar 71"]
