@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import retrieve
+from termloom.plans import catalog
 
 
 @pytest.fixture()
@@ -80,3 +81,31 @@ def test_tiers_do_not_broadcast_postings(spark, names, monkeypatch):
     got = retrieve.tiered(kws, g, 2)
     assert unmeasured(seen[0]) == []
     assert [r.term for r in got.orderBy("slot").collect()][:3] == ["Order of Garbelgar 7", "Order of Garbelgar 70", "Order of Garbelgar 71"]
+
+
+def broadcast_glossaries(df) -> list[str]:
+    """Scans of a glossary anywhere under a broadcast that the planner chose before it ran."""
+    out, under = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if under is not None and depth <= under:
+            under = None
+        name = line.lstrip(" :+-*")
+        if name.startswith("BroadcastExchange") and under is None:
+            under = depth
+        elif under is not None and name.startswith("FileScan") and "term#" in name:
+            out.append(name[:80])
+    return out
+
+
+def check_no_glossary_broadcast(query, spark, data, monkeypatch):
+    steps = []
+    real = retrieve.cut
+    monkeypatch.setattr(retrieve, "cut", lambda df, *a: steps.append(df) or real(df, *a))
+    steps.append(query(spark, data))
+    assert len(steps) > 1
+    assert [x for df in steps for x in broadcast_glossaries(df)] == []
+
+
+def test_retrieve_tiered_broadcasts_no_glossary(spark, data, monkeypatch):
+    check_no_glossary_broadcast(catalog.retrieve_tiered, spark, data, monkeypatch)
