@@ -109,3 +109,7 @@ def check_no_glossary_broadcast(query, spark, data, monkeypatch):
 
 def test_retrieve_tiered_broadcasts_no_glossary(spark, data, monkeypatch):
     check_no_glossary_broadcast(catalog.retrieve_tiered, spark, data, monkeypatch)
+
+
+def test_retrieved_terms_broadcasts_no_glossary(spark, data, monkeypatch):
+    check_no_glossary_broadcast(catalog.retrieved_terms, spark, data, monkeypatch)
