@@ -97,6 +97,7 @@ class Counter:
 
     def __init__(self) -> None:
         self.bi = np.zeros(BIGRAM_SLOTS, np.int64)
+        self.waiting: list[np.ndarray] = []
         self.uni = np.zeros(UNIGRAM_SLOTS, np.int64)
         self.pair = np.zeros(CLASSES * CLASSES, np.int64)
 
@@ -109,12 +110,21 @@ class Counter:
         pairs = k[:-1] * CLASSES + k[1:]
         if keep is not None:
             slots, u, pairs = slots[keep], u[1:][keep], pairs[keep]
-        self.bi += np.bincount(slots, minlength=BIGRAM_SLOTS)
+        # A count goes through all slots: batches wait until they hold as many pairs.
+        self.waiting.append(slots.astype(np.int32))
+        if sum(map(len, self.waiting)) >= BIGRAM_SLOTS:
+            self._drain()
         self.uni += np.bincount(u, minlength=UNIGRAM_SLOTS)
         self.pair += np.bincount(pairs, minlength=CLASSES * CLASSES)
 
+    def _drain(self) -> None:
+        if self.waiting:
+            self.bi += np.bincount(np.concatenate(self.waiting), minlength=BIGRAM_SLOTS)
+            self.waiting = []
+
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Slot numbers (bigrams, unigrams, class pairs) and counts, empty slots left out."""
+        self._drain()
         every = np.concatenate([self.bi, self.uni, self.pair])
         at = np.flatnonzero(every)
         return at, every[at]

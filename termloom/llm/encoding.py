@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,11 +123,15 @@ _CYR_BACK = {f"{r}>{w}": {ord(c): bytes([b]).decode(r, "replace") for c, b in _O
 _LEGACY = ("cp932", "gbk", "cp949", "euc_jp", "big5", "cp1251", "koi8_r", "cp866")
 
 
+#: Characters of each one-byte encoding to those of the same number as their byte.
+_AS_BYTE = {w: {ord(c): b for c, b in t.items()} for w, t in _ONE_BYTE.items()}
+
+
 def _from_utf8(w: str):
-    t = _ONE_BYTE[w]
+    t = _AS_BYTE[w]
 
     def back(m: re.Match) -> str:
-        return bytes(t.get(c) or ord(c) for c in m.group()).decode("utf-8", "replace")
+        return m.group().translate(t).encode("latin-1").decode("utf-8", "replace")
 
     return back
 
@@ -135,8 +140,7 @@ _BACK = {w: _from_utf8(w) for w in _UTF8_IN}
 
 
 def _bytes_1252(s: str) -> bytes:
-    t = _ONE_BYTE["cp1252"]
-    return bytes(t.get(c, ord(c)) for c in s)
+    return s.translate(_AS_BYTE["cp1252"]).encode("latin-1")
 
 
 _WIDTHS: dict[str, np.ndarray] = {}
@@ -214,19 +218,31 @@ def traces(a: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Bits of each text of a batch that say which inversions are worth a try."""
     lead, tail, odd, up, one, high, letter, lower, cyr_low, cyr_up = _gates()
     u = charlm.unigram_slots(a)
-    p, c = u[:-1], u[1:]
-    bits = one[c] | (lead[p] & tail[c])
-    lp, lc = letter[p], letter[c]
-    bits |= np.where(lp, odd[c], 0).astype(np.uint32) | np.where(lc, odd[p], 0).astype(np.uint32) | np.where(lower[p], up[c], 0).astype(np.uint32)
-    bits |= np.where(cyr_low[p] & cyr_up[c], np.uint32(_B_CYR), np.uint32(0))
-    h = high[c]
-    n_high = np.add.reduceat(h, starts)
-    n_near = np.add.reduceat(high[p] & h, starts)
+    c = u[1:]
+    sign, abc, h = odd[u], letter[u], high[u]
+    bits = one[c] | (lead[u[:-1]] & tail[c])
+    bits |= sign[1:] * abc[:-1] | sign[:-1] * abc[1:] | up[c] * lower[u[:-1]]
+    bits |= (cyr_low[u[:-1]] & cyr_up[c]) * np.uint32(_B_CYR)
+    n_high = np.add.reduceat(h[1:], starts)
+    n_near = np.add.reduceat(h[:-1] & h[1:], starts)
     out = np.bitwise_or.reduceat(bits, starts)
     out |= np.where((n_near > 0) | (n_high * 4 >= np.maximum(lens, 2)) & (n_high > 1), np.uint32(_B_LEGACY), np.uint32(0))
     return out
 
 
+def _utf8_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where matches of _THREE and of _SEQ start in bytes."""
+    b = np.concatenate([raw, np.zeros(8, np.uint8)])
+    n = len(raw)
+    tail = (b & 0xC0) == 0x80
+    three = (b[: n + 4] & 0xF0 == 0xE0) & tail[1 : n + 5] & tail[2 : n + 6]
+    pair = (b[: n + 7] & 0xFE == 0xD0) & tail[1 : n + 8]
+    strong = three[:n] & three[3 : n + 3] | pair[:n] & pair[2 : n + 2] & pair[4 : n + 4] & pair[6 : n + 6]
+    lead = b[:n]
+    seq = three[:n] & (lead >= 0xE2) | (lead >= 0xC2) & (lead <= 0xDF) & tail[1 : n + 1]
+    return np.flatnonzero(strong), np.flatnonzero(seq)
+
+
 def _drop_plain_cjk(texts: list[str], bits: np.ndarray, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Without the texts whose only trace is a script that hides UTF-8 read as a many-byte encoding, if it doesn't.
 
@@ -244,9 +260,13 @@ def _drop_plain_cjk(texts: list[str], bits: np.ndarray, a: np.ndarray, starts: n
     lines = "\n".join(texts[i].replace("\n", " ").replace("\r", " ") for i in at)
     hit = np.zeros(len(at), bool)
     for w in _MANY_BYTE:
-        for n, raw in enumerate(lines.encode(w, "replace").split(b"\n")):
-            if not hit[n] and (_THREE.search(raw) or mostly[at[n]] and _SEQ.search(raw)):
-                hit[n] = True
+        raw = np.frombuffer(lines.encode(w, "replace"), np.uint8)
+        three, seq = _utf8_at(raw)
+        line = np.cumsum(raw == 10)
+        hit[line[three]] = True
+        some = np.zeros(len(at), bool)
+        some[line[seq]] = True
+        hit |= some & mostly[only]
     out = bits.copy()
     out[only[~hit]] = 0
     return out
@@ -273,10 +293,11 @@ def inversions(text: str, bits: int) -> tuple[list[tuple[str, str]], bool]:
         runs = [m for m in _RUN_1252.finditer(text) if len(m.group()) > 1 and sum(c in t for c in m.group()) * 10 >= 3 * len(m.group())]
         if runs:
             strong |= sum(len(m.group()) for m in runs) > 5
+            raws = [_bytes_1252(m.group()) for m in runs]
             for r in _LEGACY:
                 parts, at = [], 0
-                for m in runs:
-                    parts += [text[at : m.start()], _bytes_1252(m.group()).decode(r, "replace")]
+                for m, raw in zip(runs, raws):
+                    parts += [text[at : m.start()], raw.decode(r, "replace")]
                     at = m.end()
                 got = "".join(parts) + text[at:]
                 if got.count("�") <= max(1, len(got) // 12) + text.count("�"):
@@ -327,8 +348,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = [(k, s, t) for k, s, t in zip(keys, srcs, b.column(at).to_pylist()) if t]
             if not live:
                 continue
-            for _, s, _ in live:
-                per[field, s] = per.get((field, s), 0) + 1
+            for s, n in Counter(s for _, s, _ in live).items():
+                per[field, s] = per.get((field, s), 0) + n
             texts = [t for _, _, t in live]
             a, starts = charlm.codes(texts)
             lens = np.diff(np.append(starts, len(a) - 1)) - 1
@@ -373,9 +394,11 @@ def _scorer(model_b):
             keys, fields, srcs, texts, chains, inverted = (c.to_pylist() for c in b.columns)
             base, got = model.score(texts), model.score([x for xs in inverted for x in xs])
             ratios, at = [], 0
+            mixed = lambda x: len(_MIXED.findall(x))
             for i, (cs, xs) in enumerate(zip(chains, inverted)):
                 # A lost character is certain where bytes are lost; clean text holds one in all characters seen at most.
-                llr = [math.log(model.total + 1) if c == LOSSY else float(got[j] - base[i]) - MIXED_COST * max(0, len(_MIXED.findall(x)) - len(_MIXED.findall(texts[i]))) for j, (c, x) in enumerate(zip(cs, xs), at)]
+                glued = mixed(texts[i])
+                llr = [math.log(model.total + 1) if c == LOSSY else float(got[j] - base[i]) - MIXED_COST * max(0, mixed(x) - glued) for j, (c, x) in enumerate(zip(cs, xs), at)]
                 at += len(cs)
                 top = max(llr)
                 ratios.append([min(top, 60.0) - (top - v) for v in llr])

@@ -18,6 +18,8 @@ from a character n-gram naive Bayes model.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator
 
@@ -34,14 +36,17 @@ from termloom.session import cut
 #: Closing quotes, brackets, emphasis, markup and blanks that may follow a sentence's last mark.
 _TRAIL = r"(?:[\s\p{Z}\"'”’»“›」』】〉》)）\]}*_~`|]++|</?\w+[^<>]*>|\[/?\w+\])*+"
 _CLOSED = rf"[.!?…。！？।؟｡]{_TRAIL}\z"
+#: Characters that a closed text may end in, and what a run of closing marks may start with.
+_LAST = r"[.!?…。！？।؟｡\s\p{Z}\"'”’»“›」』】〉》)）\]}*_~`|>]"
+_SIGN = r"(?=[\p{P}\p{S}\s\p{Z}])"
 _MARKUP = r"<[^<>]{0,200}>|\[[^\[\]]{0,80}\]|\{[^{}]{0,40}\}|%[-+0-9.]*[a-zA-Z]|\\[nrt]"
 
 
 def closed(text: Column) -> Column:
     """Whether the last sentence of a text is closed."""
-    # The end decides; only where it is all closing marks must the whole text be read.
+    # The end decides, for most open texts their last character; only where it is all closing marks must the whole text be read.
     tail = F.substring(text, -24, 24)
-    return F.when(tail.rlike(_CLOSED), True).when(tail.rlike(rf"\A[^<\[]*(?:[<\[][^>\]]*)?[>\]]?{_TRAIL}\z") | tail.rlike(rf"\A{_TRAIL}\z"), text.rlike(_CLOSED)).otherwise(False)
+    return F.when(~F.substring(text, -1, 1).rlike(_LAST), False).when(tail.rlike(_CLOSED), True).when(tail.rlike(rf"\A[^<\[]*(?:[<\[][^>\]]*)?[>\]]?{_TRAIL}\z") | tail.rlike(rf"\A{_TRAIL}\z"), text.rlike(_CLOSED)).otherwise(False)
 
 
 def spikes(texts: DataFrame, source: str, text: str, least: int = 8, factor: float = 4.0, reach: int = 12) -> DataFrame:
@@ -86,7 +91,7 @@ _BACK_OFF = 4.0
 
 def _slot(text: Column, n: int) -> Column:
     """Slot of a text's last ``n`` letters, closing marks aside."""
-    v = F.regexp_replace(F.substring(text, -24, 24), rf"[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
+    v = F.regexp_replace(F.substring(text, -24, 24), rf"{_SIGN}[\p{{P}}\p{{S}}\s]*{_TRAIL}\z", "")
     return F.pmod(F.xxhash64(F.substring(v, -n, n)), F.lit(GRAM_SLOTS)).cast("int") + (0 if n == 4 else GRAM_SLOTS)
 
 
@@ -246,15 +251,22 @@ _STEMS = {
 
 
 def _any_stem(low: Column, langs: list[str]) -> Column:
-    """Whether lower-case text holds a stem: plain searches, and one expression for stems of two letters, which must stand alone."""
+    """Whether lower-case text holds a stem: plain searches, and one expression for stems of two letters, which must stand alone.
+
+    A text in which no two Latin letters meet is not searched for stems that
+    hold two, a text in ASCII only for those.
+    """
     stems = {x.lower() for lang in langs for x in _STEMS[lang].split(",")}
     short = sorted(x for x in stems if len(x) == 2 and x.isalpha() and (x.isascii() or x == "ии"))
     # a stem that holds another one adds nothing
     plain = sorted(x for x in stems - set(short) if not any(y != x and y in x for y in stems - set(short)))
-    out = low.rlike(rf"(?<!\p{{L}})(?:{'|'.join(short)})(?![a-zа-я])") if short else F.lit(False)
-    for x in plain:
-        out = out | low.contains(x)
-    return out
+    held = lambda xs: functools.reduce(operator.or_, (low.contains(x) for x in xs), F.lit(False))
+    latin = lambda xs: [x for x in xs if re.search("[a-z]{2}", x)]
+    signs = lambda xs: [x for x in xs if x not in latin(xs) and not x.isascii()]
+    assert all(len(latin(xs)) + len(signs(xs)) == len(xs) for xs in (short, plain))
+    alone = low.rlike(rf"(?<!\p{{L}})(?:{'|'.join(short)})(?![a-zа-я])") if short else F.lit(False)
+    either = lambda part: held(part(plain)) | held(part(short)) & alone
+    return (F.octet_length(low) > F.length(low)) & either(signs) | low.rlike("[a-z]{2}") & either(latin)
 
 
 def _long_refusal(text: Column, low: Column) -> Column:
@@ -314,6 +326,21 @@ def language_posteriors(prompts: np.ndarray, responses: np.ndarray, src: np.ndar
         return asked, _softmax(_TEMPER * responses + np.log(away))
 
 
+def _may_stray(responses: np.ndarray, dst: np.ndarray, strays: float = 0.01) -> np.ndarray:
+    """Whether some prompt could make a response more probably strayed than not.
+
+    Before the response is seen, no single other language has more than
+    ``strays`` x (k + 1) / (k - 1), which a prompt surely in it would give.
+    """
+    n, k = responses.shape
+    if k < 2:
+        return np.zeros(n, bool)
+    like = np.exp(_TEMPER * (responses - responses.max(1, keepdims=True)))
+    own = like[np.arange(n), dst]
+    # a little more than the bound, for rounding
+    return 1.001 * strays * (k + 1) / (k - 1) * (like.sum(1) - own) >= (1 - strays) * own
+
+
 def _judge(model_b):
     """Responses (key, prompt_lang, lang, prompt, response) that are more probably in a language other than ``lang``."""
 
@@ -327,7 +354,13 @@ def _judge(model_b):
             if not rows:
                 continue
             dst = np.array([at[langs[i]] for i in rows])
-            asked, got = language_posteriors(nb.score([prompts[i] or "" for i in rows]), nb.score([responses[i] for i in rows]), np.array([at.get(srcs[i], -1) for i in rows]), dst)
+            scored = nb.score([responses[i] for i in rows])
+            # Most responses need no look at their prompts.
+            may = np.flatnonzero(_may_stray(scored, dst))
+            if not len(may):
+                continue
+            rows, dst, scored = [rows[i] for i in may], dst[may], scored[may]
+            asked, got = language_posteriors(nb.score([prompts[i] or "" for i in rows]), scored, np.array([at.get(srcs[i], -1) for i in rows]), dst)
             wrong = 1 - got[np.arange(len(rows)), dst]
             hit = np.flatnonzero(wrong > 0.5)
             if len(hit):
