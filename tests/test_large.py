@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import retrieve
+from termloom.operators import vectors as V
 from termloom.plans import catalog
 
 
@@ -113,3 +114,30 @@ def test_retrieve_tiered_broadcasts_no_glossary(spark, data, monkeypatch):
 
 def test_retrieved_terms_broadcasts_no_glossary(spark, data, monkeypatch):
     check_no_glossary_broadcast(catalog.retrieved_terms, spark, data, monkeypatch)
+
+
+def test_driver_holds_one_block_of_queries(spark, monkeypatch):
+    """No block's vectors stay in the driver when the next is fetched, and no block comes with the others' vectors."""
+    monkeypatch.setattr(V, "QUERY_BLOCK", 10)
+    live, most = set(), []
+    real = type(spark.sparkContext).broadcast
+
+    def broadcast(sc, value):
+        b = real(sc, value)
+        gone = b.destroy
+        b.destroy = lambda *a: live.discard(id(b)) or gone(*a)
+        live.add(id(b))
+        most.append((len(live), len(value[0])))
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    df = spark.range(60).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.cos(i * F.col("id"))).alias("v")).repartition(8).cache()
+    got = V.top_k(df.filter("id < 35"), df, "id", "v", 8, 3)
+    assert most == [(1, 10)] * 3 + [(1, 5)] and not live
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    several = sorted(got.collect())
+    monkeypatch.setattr(V, "QUERY_BLOCK", 4096)
+    assert several == sorted(V.top_k(df.filter("id < 35"), df, "id", "v", 8, 3).collect()) and len(several) == 105
+    # A last block that is full leaves an empty one behind.
+    monkeypatch.setattr(V, "QUERY_BLOCK", 35)
+    assert sorted(V.top_k(df.filter("id < 35"), df, "id", "v", 8, 3).collect()) == several
